@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm import bpe, neardup, substrings, token_counts
+from weftlink.llm import bpe, mixing, neardup, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,3 +42,53 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0, seed=17)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _cut_sql(n: int, before: str, final: bool) -> str:
+    """One cut of the mix: rows not chosen yet, in order of rank, while they fit into what is left."""
+    fits = "over <= 0 OR (over < size AND 2 * over <= size)" if final else "over <= 0"
+    room = "TRUE" if final else "size <= gap"
+    return f"""
+    gap{n} AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM {before}),
+    cut{n} AS (
+      SELECT * EXCLUDE (chosen, gap, open, over), chosen OR (open AND ({fits}) AND gap > 0) AS chosen FROM (
+        SELECT *, sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, CAST(doc_id AS VARCHAR), size ROWS UNBOUNDED PRECEDING) - gap AS over
+        FROM (SELECT *, rank IS NOT NULL AND NOT chosen AND {room} AS open FROM gap{n})) AS x0)"""
+
+
+ORACLE_SQL["op2_mix_sources"] = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sums AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST([3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS DOUBLE) AS w
+  FROM sized GROUP BY source),
+ordered AS (
+  SELECT *, source_size * CAST(2.0 AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) AS total,
+         coalesce(sum(source_size * CAST(2.0 AS DOUBLE)) OVER (ORDER BY source_size * CAST(2.0 AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+         sum(w) OVER (ORDER BY source_size * CAST(2.0 AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+  FROM sums),
+level AS (
+  SELECT arg_min((total - cap_before) / w_left, cap / w) AS level FROM ordered WHERE (total - cap_before) / w_left * w <= cap),
+targets AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT level FROM level) * w, cap)) AS target FROM ordered),
+rated AS (
+  SELECT d.*, t.source_size, t.target, least(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END, CAST(2.0 AS DOUBLE)) AS rate,
+         (CAST(CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR) || ':17'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+odds AS (
+  SELECT *, floor(rate) AS whole, CASE WHEN rate > floor(rate) THEN (u / (1 - u)) / ((rate - floor(rate)) / (1 - (rate - floor(rate)))) END AS odds FROM rated),
+ranked AS (
+  SELECT doc_id, source, size, source_size, target, whole, odds / (1 + odds) AS rank,
+         target - sum(whole * size) OVER (PARTITION BY source) AS rest, FALSE AS chosen FROM odds),
+{_cut_sql(1, "ranked", False)},
+{_cut_sql(2, "cut1", False)},
+{_cut_sql(3, "cut2", True)}
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN chosen THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM cut3
+"""
