@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm import bpe, mixing, neardup, substrings, token_counts
+from weftlink.llm import bpe, mixing, neardup, quality, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,3 +92,10 @@ ranked AS (
 {_cut_sql(3, "cut2", True)}
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN chosen THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM cut3
 """
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
