@@ -80,9 +80,9 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         a = b
 
 
-def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in body, and the len+1 word offsets of the rows."""
-    inside = ~_SEP[body]
+def word_spans(body: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in body, and the len+1 word offsets of the rows. separators: a flag for each byte."""
+    inside = ~separators[body]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
