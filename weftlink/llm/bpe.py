@@ -339,22 +339,21 @@ def decode(encoded: DataFrame, spec: Spec | None = None, id_col: str = "doc_id")
     return out.select(_spark.id_back("key").alias(id_col), "text")
 
 
-def _digests(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], spec: Spec, with_ids: bool) -> Iterator[pa.RecordBatch]:
     own = codec(spec)
     for batch in batches:
-        rows = []
-        for x in batch.column(1):
-            ids = own.encode(x.as_py() or "")
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest()))
-        yield pa.record_batch(
-            [batch.column(0), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.string())],
-            ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
-def round_trip_digests(docs: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass so that ids needn't be moved."""
+        for a in range(0, len(batch), 512):
+            part, rows = batch.slice(a, 512), []
+            for x in part.column(1):
+                ids = own.encode(x.as_py() or "")
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest(), ids if with_ids else b""))
+            columns = [pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.binary()))]
+            yield pa.record_batch([part.column(0), *columns], ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+
+
+def round_trip(docs: DataFrame, spec: Spec | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's id, n_tokens, ids_sha256, decoded_sha256 and ids, encoded and decoded in one pass so that ids needn't be moved."""
     spec = spec or default_spec()
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = source.mapInArrow(lambda it: _digests(it, spec), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.select(_spark.id_back("key").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
+    out = source.mapInArrow(lambda it: _digests(it, spec, with_ids), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    return out.select(_spark.id_back("key").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)

@@ -320,3 +320,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = sketches.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(classes, F.col("rep") == F.col("id"), "left")
     own = F.when(F.col("sig").isNull(), F.col("key")).otherwise(F.coalesce("component", "rep"))
     return of.select(_spark.id_back("key").alias(id_col), F.when(own != _spark.NULL_ID, own).alias("class_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near duplicates: of each class the row of the smallest id, once. Rows without an id stay."""
+    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("class_id")).select(F.col("class_id").alias("kept_class_id")).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    one = named.join(kept, named[id_col].cast("long") == F.col("kept_class_id"), "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -41,7 +41,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 @query
@@ -118,13 +118,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op4_line_dedup"] = f"""
 WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS b FROM lines),
 counts AS (SELECT source, b, count(DISTINCT doc_id) AS pages FROM bare WHERE b <> '' GROUP BY ALL),
 totals AS (SELECT source, count(*) AS site_pages FROM documents GROUP BY ALL),
 gone AS (SELECT source, b FROM counts JOIN totals USING (source) WHERE pages >= {line_dedup.LEAST} AND pages > {line_dedup.RATIO} * site_pages),
 kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY at) AS text, count(*) AS n FROM bare
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM bare
   WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = bare.source AND g.b = bare.b) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n, 1) AS BIGINT) AS n_lines_left,
        CAST(length(coalesce(k.text, '')) AS BIGINT) AS n_chars_left, md5(coalesce(k.text, '')) AS text_md5
@@ -140,10 +140,10 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op7_topk_search"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.z) + 1), i -> q.z[i] * c.z[i])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.z) + 1), lambda i: q.z[i] * c.z[i])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.z) = len(c.z) WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
