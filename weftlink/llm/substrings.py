@@ -99,14 +99,19 @@ def _earliest(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple
     return order[head], sub[differ]
 
 
+def _runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=part[:1] - 1)), len(part))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(part[a]), int(a), int(b)
+
+
 def _deal(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """A block's windows by bucket, each hash once; the block's own repeats go with some bucket under a sign of their own."""
     keep, repeats = _earliest(hashes, docs, starts)
     h, d, s = hashes[keep], docs[keep], starts[keep]
-    part = _bucket(h, buckets)
-    edges = np.flatnonzero(np.diff(part, prepend=-1))
-    for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
-        yield int(part[a]), b"w" + _pack_windows(h[a:b], d[a:b], s[a:b])
+    for part, a, b in _runs(_bucket(h, buckets)):
+        yield part, b"w" + _pack_windows(h[a:b], d[a:b], s[a:b])
     if len(repeats):
         yield int(hashes[repeats[0]] % _U(buckets)), b"r" + _pack(docs[repeats], starts[repeats].astype(np.uint32))
 
@@ -179,8 +184,7 @@ def _count(table: pa.Table, buckets: int) -> pa.Table:
     part = _doc_bucket(d, buckets)
     order = np.lexsort((s, d, part))
     d, s, part = d[order], s[order], part[order]
-    edges = np.flatnonzero(np.diff(part, prepend=-1))
-    out = [(int(part[a]), _pack(np.diff(d[a:b], prepend=np.int64(0)), s[a:b].astype(np.uint32))) for a, b in zip(edges, [*edges[1:], len(part)], strict=True)]
+    out = [(at, _pack(np.diff(d[a:b], prepend=np.int64(0)), s[a:b].astype(np.uint32))) for at, a, b in _runs(part)]
     return pa.table({"part": pa.array([x for x, _ in out], pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
 

@@ -68,7 +68,7 @@ def context_totals(histogram: DataFrame) -> DataFrame:
 
 def at_limits(totals: DataFrame, limits: Sequence[int]) -> DataFrame:
     """(context, truncated_tokens, docs_over) for any context limits, lengths in the corpus or not."""
-    asked = totals.select("*", F.explode(F.array(*[F.lit(int(x)) for x in limits])).cast("long").alias("context"))
+    asked = totals.select("*", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("context"))
     longer = F.col("length") > F.col("context")
     over = F.coalesce(F.max(F.when(longer, F.col("docs_from"))), F.lit(0))
     tokens_over = F.coalesce(F.max(F.when(longer, F.col("tokens_from"))), F.lit(0))
