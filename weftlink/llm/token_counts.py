@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlink.llm import _spark
 from weftlink.llm.tokenizer_spec import Spec, default_spec, library_encoding
 
-RUN = 1024
+RUN = 64
 
 
 def _lengths(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -35,8 +36,8 @@ def token_lengths(docs: DataFrame, spec: Spec | None = None, text_col: str = "te
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """(length, docs) of a table with a length column."""
-    return lengths.groupBy("length").agg(F.count("*").alias("docs"))
+    """(length, docs) of a table with a length column, written so that what reads it twice encodes nothing twice."""
+    return _spark.written(lengths.groupBy("length").agg(F.count("*").alias("docs")), "lengths")
 
 
 def context_totals(histogram: DataFrame) -> DataFrame:
