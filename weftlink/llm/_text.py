@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that a step of vectorised work takes at once; a longer document is taken alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Bytes hashed at once.
 _SLICE = 1 << 20
 

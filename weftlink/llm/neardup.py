@@ -92,7 +92,7 @@ def _locally_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for _, body, offsets in _each_chunk(batches):
         held.append(_shingles(body, offsets)[1])
         docs += len(offsets) - 1
-        if sum(map(len, held)) > 6_000_000:
+        if sum(map(len, held)) > 2_000_000:
             yield from out()
             held, docs = [], 0
     if held:
