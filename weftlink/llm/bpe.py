@@ -9,7 +9,7 @@ within the longest token of the end, which bounds the lookahead. Once all of
 them descend from one earlier position the tokens up to it are final and are
 emitted. A state of the transducer is what is pending relative to that
 position; states and transitions are made when first met and kept in a table
-that is emptied when it grows beyond ``STATES``. Whole pieces already read are
+that is emptied when it grows beyond ``STATES``; the state at a piece's end is not kept. Whole pieces already read are
 kept in two generations of at most ``PIECES`` each.
 
 Decoding. Token bytes run through the UTF-8 automaton of the well-formed byte
@@ -24,6 +24,7 @@ Memory is bounded by the longest document and the two tables.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 from weftlink.llm import _spark
 from weftlink.llm.tokenizer_spec import Spec, default_spec, ranks
 
-STATES = 250_000
-PIECES = 400_000
+STATES = 180_000
+PAIRS = 150_000
+PIECES = 250_000
 
 
 def merge_encode(piece: bytes, rank: dict[bytes, int]) -> list[bytes]:
@@ -51,30 +53,33 @@ def merge_encode(piece: bytes, rank: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-class State:
-    """What is pending after the last final token: that token (None at the start), the bytes since, and for each
-    position in them that matters (position, where its last token starts, that token); then the transitions made so far."""
-
-    __slots__ = ("base", "held", "known", "moves")
-
-    def __init__(self, base: bytes | None, held: bytes, known: tuple[tuple[int, int, bytes], ...]) -> None:
-        self.base, self.held, self.known = base, held, known
-        self.moves: dict[int, tuple[State, bytes]] = {}
+#: What is pending after the last final token: that token (None at the start), the bytes since, and for each
+#: position in them that matters (position, where its last token starts, that token).
+State = tuple[bytes | None, bytes, tuple[tuple[int, int, bytes], ...]]
+START: State = (None, b"", ())
+_TOKEN, _PREFIX = 1, 2
 
 
 class Transducer:
-    """Reads bytes of a piece, emits token bytes."""
+    """Reads bytes of a piece, emits ids."""
 
     def __init__(self, rank: dict[bytes, int]) -> None:
         self.rank = rank
-        self.prefixes = {t[:i] for t in rank for i in range(1, len(t))}
-        self.longest = max(map(len, rank))
+        self.kind = {t: _TOKEN for t in rank}
+        for t in rank:
+            for i in range(1, len(t)):
+                self.kind[t[:i]] = self.kind.get(t[:i], 0) | _PREFIX
         self.code = {t: i.to_bytes(4, "little") for t, i in rank.items()}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.spines: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
-        self.states: dict[tuple, State] = {}
-        self.start = self._state(None, b"", ())
+        self._forget()
+
+    def _forget(self) -> None:
+        """No states but the first, number 0, and no transitions."""
+        self.states, self.number = [START], {START: 0}
+        self.moves: dict[int, int] = {}  # number * 256 + byte -> number
+        self.outs: dict[int, bytes] = {}  # the same -> ids, where there are any
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge gives token; None for a byte, and for a token that its own bytes don't merge to."""
@@ -107,7 +112,7 @@ class Transducer:
         key = (last, token)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 4 * STATES:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             rank = self.rank
             right = self._spine(token, 0)
@@ -123,52 +128,69 @@ class Transducer:
             self.pairs[key] = found
         return found
 
-    def _state(self, base: bytes | None, held: bytes, known: tuple[tuple[int, int, bytes], ...]) -> State:
-        key = (base, held, known)
-        found = self.states.get(key)
-        if found is None:
-            if len(self.states) > STATES:
-                self.states.clear()
-                self.start = self._state(None, b"", ())
-            found = self.states[key] = State(base, held, known)
-        return found
-
-    def _move(self, state: State, byte: int) -> tuple[State, bytes]:
-        """A new transition: the next state and the ids that became final."""
-        base, held = state.base, state.held + bytes((byte,))
-        n, rank, prefixes = len(held), self.rank, self.prefixes
-        back, own = {0: -1}, {0: base}
-        for p, s, token in state.known:
-            back[p], own[p] = s, token
-        live = {p for p in back if held[p:] in prefixes}
-        for p in back:  # in order: the longest last token is tried first
+    def _step(self, state: State, byte: int) -> tuple[State, bytes]:
+        """The next state and the ids that become final."""
+        base, held, known = state
+        held += bytes((byte,))
+        n = len(held)
+        kind = self.kind.get(held, 0)
+        new = (n, 0, held) if kind & _TOKEN and self._fits(base, held) else None
+        live = [0] if kind & _PREFIX else []
+        for p, _, last in known:  # in order: the longest last token is tried first
             token = held[p:]
-            if token in rank and self._fits(own[p], token):
-                back[n], own[n] = p, token
-                live.add(n)
-                break
-        needed = []
-        while len(live) > 1:
-            p = max(live)
-            live.remove(p)
-            live.add(back[p])
-            needed.append(p)
-        (cut,) = live
-        final, p = [], cut
-        while p:
-            final.append(self.code[own[p]])
-            p = back[p]
-        moved = self._state(own[cut], held[cut:], tuple([(p - cut, back[p] - cut, own[p]) for p in reversed(needed)]))
-        found = state.moves[byte] = moved, b"".join(final[::-1])
-        return found
+            kind = self.kind.get(token, 0)
+            if kind & _PREFIX:
+                live.append(p)
+            if new is None and kind & _TOKEN and self._fits(last, token):
+                new = (n, p, token)
+        if new is not None:
+            live.append(n)
+            known = (*known, new)
+        if len(live) == 1:
+            cut, needed = live[0], []
+        else:
+            at, wanted, needed = {x[0]: x for x in known}, set(live), []
+            while len(wanted) > 1:
+                p = max(wanted)
+                wanted.remove(p)
+                wanted.add(at[p][1])
+                needed.append(at[p])
+            (cut,) = wanted
+        if not cut:
+            return (base, held, tuple(needed[::-1])), b""
+        out, end, p = [], None, cut
+        for place, start, token in reversed(known):
+            if place == p:
+                end = end or token
+                out.append(self.code[token])
+                p = start
+        moved = tuple([(p - cut, s - cut, token) for p, s, token in reversed(needed)])
+        return (end, held[cut:], moved), b"".join(out[::-1])
+
+    def _move(self, number: int, byte: int) -> tuple[int, bytes]:
+        """A new transition, kept."""
+        state, out = self._step(self.states[number], byte)
+        if len(self.states) > STATES:
+            self._forget()
+            number = -1  # where the transition began is forgotten too
+        to = self.number.get(state)
+        if to is None:
+            to = self.number[state] = len(self.states)
+            self.states.append(state)
+        if number >= 0:
+            self.moves[number << 8 | byte] = to
+            if out:
+                self.outs[number << 8 | byte] = out
+        return to, out
 
     def _finish(self, state: State) -> bytes:
         """The ids still pending when the piece ends."""
-        last = {p: (s, t) for p, s, t in state.known}
-        out, p = [], len(state.held)
-        while p:
-            p, token = last[p]
-            out.append(self.code[token])
+        _, held, known = state
+        out, p = [], len(held)
+        for place, start, token in reversed(known):
+            if place == p:
+                out.append(self.code[token])
+                p = start
         return b"".join(out[::-1])
 
     def encode(self, piece: bytes) -> bytes:
@@ -176,14 +198,21 @@ class Transducer:
         whole = self.code.get(piece)
         if whole is not None:
             return whole
-        state, out = self.start, []
-        for byte in piece:
-            move = state.moves.get(byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out.append(move[1])
-        out.append(self._finish(state))
-        return b"".join(out)
+        at, out, moves = 0, [], self.moves
+        for byte in piece[:-1]:
+            key = at << 8 | byte
+            to = moves.get(key)
+            if to is None:
+                at, ids = self._move(at, byte)
+                moves = self.moves
+                out.append(ids)
+            else:
+                at = to
+                if key in self.outs:
+                    out.append(self.outs[key])
+        # the state after the last byte is needed once, for whole pieces are kept elsewhere
+        state, ids = self._step(self.states[at], piece[-1])
+        return b"".join((*out, ids, self._finish(state)))
 
 
 class _Pieces(dict):
@@ -302,6 +331,8 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def codec(spec: Spec) -> Codec:
+    """The codec of this Python worker. Its tables are many small objects without cycles, so the collector looks at them less often."""
+    gc.set_threshold(50_000, 50, 50)
     return Codec(spec)
 
 
