@@ -65,17 +65,18 @@ def train_and_validate(s1: DataFrame, targets: DataFrame, truth: DataFrame, is_t
     settings = settings or Settings()
     part = s1.select("entity_id", is_train.alias("is_train"))
     true = truth.join(part.withColumnRenamed("entity_id", "s1_id"), "s1_id")
-    found = find_pairs(s1, targets, settings)
-    found = found.join(part.withColumnRenamed("entity_id", "s1_id"), "s1_id")
+    found = find_pairs(s1, targets, settings).join(part.withColumnRenamed("entity_id", "s1_id"), "s1_id").persist()
     train = pairs.labelled_pairs(found.where("is_train"), true.where("is_train"), True)
     check = pairs.labelled_pairs(found.where("not is_train"), true.where("not is_train"), False)
-    rows = features(train, s1, targets).join(train, ["s1_id", "target_id"]).persist()
+    rows = features(train, s1, targets).join(train, ["s1_id", "target_id"]).select("label", *pairs.FEATURES).persist()
     fitted = models.train_all(rows, settings.params)
     rows.unpersist()
-    scored = models.predict(fitted, features(check, s1, targets)).withColumn("p", scoring.blend(settings.weights))
+    scored = models.predict(fitted, features(check, s1, targets)).withColumn("p", scoring.blend(settings.weights)).select("s1_id", "target_id", "p")
     spine = part.where("not is_train").select(F.col("entity_id").alias("s1_id"))
     sweep = assign.threshold_sweep(scored, true.where("not is_train"), spine).persist()
-    return Trained(fitted, settings.weights, assign.best_threshold(sweep), sweep)
+    best = assign.best_threshold(sweep)
+    found.unpersist()
+    return Trained(fitted, settings.weights, best, sweep)
 
 
 def link(s1: DataFrame, targets: DataFrame, trained: Trained, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
