@@ -82,21 +82,23 @@ def _longs(x: np.ndarray) -> pa.RecordBatch:
 
 
 def _locally_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    docs = 0
+    """The last rows of a task join the block before them: in a block of few rows everything would be frequent."""
+    blocks: list[tuple[list[np.ndarray], int]] = [([], 0)]
 
-    def out() -> Iterator[pa.RecordBatch]:
-        ids, n = np.unique(np.concatenate(held), return_counts=True)
-        yield _longs(ids[n >= FLOOR * docs])
+    def out(block: tuple[list[np.ndarray], int]) -> Iterator[pa.RecordBatch]:
+        ids, n = np.unique(np.concatenate(block[0]), return_counts=True)
+        yield _longs(ids[n >= FLOOR * block[1]])
 
     for _, body, offsets in _each_chunk(batches):
+        held, docs = blocks[-1]
         held.append(_shingles(body, offsets)[1])
-        docs += len(offsets) - 1
+        blocks[-1] = held, docs + len(offsets) - 1
         if sum(map(len, held)) > 2_000_000:
-            yield from out()
-            held, docs = [], 0
-    if held:
-        yield from out()
+            if len(blocks) == 2:
+                yield from out(blocks.pop(0))
+            blocks.append(([], 0))
+    if any(held for held, _ in blocks):
+        yield from out(([x for held, _ in blocks for x in held], sum(docs for _, docs in blocks)))
 
 
 def _filter_bits(ids: np.ndarray) -> np.ndarray:
