@@ -153,6 +153,14 @@ def test_near_duplicates(spark, monkeypatch, cap):
     assert neardup.keep_one(frame(spark, texts)).count() == len(set(classes(texts)))
 
 
+def test_near_duplicates_about_the_threshold(spark):
+    """Many pairs of a group lie just below or above 0.8; what links a class may be any of them."""
+    rng = random.Random(8)
+    texts = [edited(b, rng, rng.choice([2, 3])) for b in made(9, 5, 380, 381) for _ in range(20)]
+    got = [r.class_id for r in neardup.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == classes(texts)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")

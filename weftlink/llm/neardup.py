@@ -13,8 +13,9 @@ Each document keeps, for each of BANDS * ROWS samples, the smallest sampling
 value over its shingles, which two documents share with a probability of their
 weighted Jaccard similarity. Documents that agree in all samples of a band meet
 in a bucket. A bucket of two is a candidate pair. In a larger one the samples
-give an estimate for every two members, and the edges of a maximum spanning tree
-of estimates become candidates, one fewer than members. Buckets over ``CAP``
+give an estimate for every two members, and a walk from member to member compares
+each reached one exactly with all those not reached yet whose estimate is
+``ESTIMATE`` or more, so no link between members is missed. Buckets over ``CAP``
 are cut into blocks by another band; one document of each connected cluster of a
 block goes on to a further round. Candidates are verified by exact weighted
 Jaccard similarity of whole texts, and links form classes by connected
@@ -230,6 +231,53 @@ def _sketch(batches: Iterator[pa.RecordBatch], table: Broadcast) -> Iterator[pa.
         yield pa.record_batch([batch.column(0), *(pa.array(x.view(np.int64)) for x in sums), pa.array(sig, pa.binary())], ["key", "d1", "d2", "sig"])
 
 
+_idfs: list[tuple[tuple[int, np.ndarray, np.ndarray], _Idf]] = []
+
+
+def _idf_of(table: Broadcast) -> _Idf:
+    """One for each table and Python worker: groups are many and small."""
+    if not _idfs or _idfs[0][0] is not table.value:
+        _idfs[:] = [(table.value, _Idf(*table.value))]
+    return _idfs[0][1]
+
+
+def _linked(table: pa.Table, weights: Broadcast) -> pa.Table:
+    """Links of one block that span the classes of its members: every two of different com are compared unless a link found earlier joins them."""
+    reps, n = table.column("rep").to_numpy(), len(table)
+    sig = np.frombuffer(b"".join(x.as_py() for x in table.column("sig")), np.float32).reshape(n, _K)
+    body, offsets = _text.utf8(table.column("text").combine_chunks())
+    parts = [(x + a, *rest) for a, b in _text.chunks(offsets) for x, *rest in [_shingles(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[:3]]]
+    doc, ids, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    weight = _idf_of(weights).weigh(ids, count)
+    total, start = np.bincount(doc, weight, n), np.searchsorted(doc, np.arange(n + 1))
+    shingle = np.unique(ids, return_inverse=True)[1]
+    label = np.unique(table.column("com").to_numpy(), return_inverse=True)[1]
+    order = np.argsort(label, kind="stable")
+    group = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+    left, own = np.ones(n, bool), np.zeros(shingle.max() + 1)
+    links = []
+    for seed in range(n):
+        reached = group[label[seed]].tolist() if left[seed] else []
+        left[reached] = False
+        while reached:
+            at = reached.pop()
+            near = np.flatnonzero(left)
+            near = near[(sig[near] == sig[at]).sum(1) >= ESTIMATE * _K]
+            own[shingle[start[at] : start[at + 1]]] = weight[start[at] : start[at + 1]]
+            ends = np.append(0, np.cumsum(start[near + 1] - start[near]))
+            for a, b in _text.chunks(ends):
+                some, heads = near[a:b], ends[a:b] - ends[a]
+                pos = np.repeat(start[some] - heads, np.diff(ends[a : b + 1])) + np.arange(ends[b] - ends[a])
+                low = np.add.reduceat(np.minimum(weight[pos], own[shingle[pos]]), heads)
+                for x in some[low / (total[at] + total[some] - low) >= SIMILARITY]:
+                    if left[x]:
+                        links.append((reps[at], reps[x]))
+                        left[group[label[x]]] = False
+                        reached.extend(group[label[x]].tolist())
+            own[shingle[start[at] : start[at + 1]]] = 0
+    return pa.table({"a": pa.array([int(min(x)) for x in links], pa.int64()), "b": pa.array([int(max(x)) for x in links], pa.int64())})
+
+
 def _tree(table: pa.Table) -> pa.Table:
     """Edges of a maximum spanning forest of the estimates in one block, and with b null one document of each cluster."""
     reps = table.column("rep").to_numpy()
@@ -258,13 +306,14 @@ def _tree(table: pa.Table) -> pa.Table:
     return pa.table({"bk": pa.array([bucket] * len(a), pa.int64()), "a": pa.array([int(x) for x in a], pa.int64()), "b": pa.array([None if x is None else int(x) for x in b], pa.int64())})
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """(a, b) with a < b, from (rep, sig)."""
+def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with a < b, from (rep, sig); and (bk, rep, sig) of the buckets whose members are all compared where they lie."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     bands = reps.select("rep", F.explode(keys).alias("bk"))
     buckets = _spark.written(bands.groupBy("bk").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi"), "buckets")
     pairs = [buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))]
-    large = buckets.where("n > 2").select("bk", "n")
+    small = bands.join(buckets.where(F.col("n").between(3, CAP)).select("bk"), "bk").join(reps, "rep").select("bk", "rep", "sig")
+    large = buckets.where((F.col("n") > 2) & (F.col("n") > CAP)).select("bk", "n")
     members = bands.join(large, "bk")
     most = large.agg(F.max("n")).first()[0] or 0
     level = 0
@@ -285,7 +334,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     out = pairs[0]
     for x in pairs[1:]:
         out = out.union(x)
-    return out.distinct()
+    return out.distinct(), small
 
 
 def _similar(batches: Iterator[pa.RecordBatch], table: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -312,12 +361,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = _spark.written(source.mapInArrow(lambda it: _sketch(it, table), "key long, d1 long, d2 long, sig binary"), "sketches")
     least = sketches.where("sig is not null").groupBy("d1", "d2").agg(F.min(F.struct("key", "sig")).alias("x"))
     reps = _spark.written(least.select("d1", "d2", F.col("x.key").alias("rep"), F.col("x.sig").alias("sig")), "reps")
-    pairs = _spark.written(_candidates(reps.select("rep", "sig").dropDuplicates(["rep"])), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    pairs, small = _candidates(reps.select("rep", "sig").dropDuplicates(["rep"]))
+    pairs = _spark.written(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(small.select("rep")).distinct()
     texts = _spark.written(source.join(wanted, "key", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     checked = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _similar(it, table), "a long, b long, similarity double")
-    links = checked.where(F.col("similarity") >= SIMILARITY)
+    blocks = small.join(texts.withColumnRenamed("key", "rep"), "rep").select("bk", "rep", F.col("rep").alias("com"), "sig", "text")
+    links = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b").union(blocks.groupBy("bk").applyInArrow(lambda x: _linked(x, table), "a long, b long"))
     classes = components.connected_components(links)
     of = sketches.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(classes, F.col("rep") == F.col("id"), "left")
     own = F.when(F.col("sig").isNull(), F.col("key")).otherwise(F.coalesce("component", "rep"))
