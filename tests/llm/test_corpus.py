@@ -153,8 +153,10 @@ def test_near_duplicates(spark, monkeypatch, cap):
     assert neardup.keep_one(frame(spark, texts)).count() == len(set(classes(texts)))
 
 
-def test_near_duplicates_about_the_threshold(spark):
+@pytest.mark.parametrize("cap", [2048, 6])
+def test_near_duplicates_about_the_threshold(spark, monkeypatch, cap):
     """Many pairs of a group lie just below or above 0.8; what links a class may be any of them."""
+    monkeypatch.setattr(neardup, "CAP", cap)
     rng = random.Random(8)
     texts = [edited(b, rng, rng.choice([2, 3])) for b in made(9, 5, 380, 381) for _ in range(20)]
     got = [r.class_id for r in neardup.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()]

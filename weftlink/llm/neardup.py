@@ -16,10 +16,10 @@ in a bucket. A bucket of two is a candidate pair. In a larger one the samples
 give an estimate for every two members, and a walk from member to member compares
 each reached one exactly with all those not reached yet whose estimate is
 ``ESTIMATE`` or more, so no link between members is missed. Buckets over ``CAP``
-are cut into blocks by another band; one document of each connected cluster of a
-block goes on to a further round. Candidates are verified by exact weighted
-Jaccard similarity of whole texts, and links form classes by connected
-components. Equal word sequences are collapsed first.
+are cut into blocks by a hash of the document, afresh as long as that joins many
+classes; then every two blocks with members of different classes meet. Candidates
+are verified by exact weighted Jaccard similarity of whole texts, and links form
+classes by connected components. Equal word sequences are collapsed first.
 
 Edge cases. Null and empty texts, and texts of separators only, are classes of
 their own. A null doc_id counts as one smallest id and comes back as null. Rows
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import _spark, _text, components
@@ -278,63 +278,62 @@ def _linked(table: pa.Table, weights: Broadcast) -> pa.Table:
     return pa.table({"a": pa.array([int(min(x)) for x in links], pa.int64()), "b": pa.array([int(max(x)) for x in links], pa.int64())})
 
 
-def _tree(table: pa.Table) -> pa.Table:
-    """Edges of a maximum spanning forest of the estimates in one block, and with b null one document of each cluster."""
-    reps = table.column("rep").to_numpy()
-    order = np.argsort(reps)
-    reps = reps[order]
-    sig = np.frombuffer(b"".join(x.as_py() for x in table.column("sig")), np.float32).reshape(len(reps), _K)[order]
-    bucket = table.column("bk")[0].as_py()
-    n = len(reps)
-    best, near, left = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool)
-    edges, hubs, at = [], [], 0
-    for step in range(n):
-        if step:
-            at = int(np.argmax(np.where(left, best, -2)))
-            if best[at] >= ESTIMATE * _K:
-                edges.append((reps[near[at]], reps[at]))
-            else:
-                hubs.append(at)
-        else:
-            hubs.append(at)
-        left[at] = False
-        same = (sig == sig[at]).sum(1)
-        better = left & (same > best)
-        best[better], near[better] = same[better], at
-    a = [min(x) for x in edges] + [reps[i] for i in hubs]
-    b = [max(x) for x in edges] + [None] * len(hubs)
-    return pa.table({"bk": pa.array([bucket] * len(a), pa.int64()), "a": pa.array([int(x) for x in a], pa.int64()), "b": pa.array([None if x is None else int(x) for x in b], pa.int64())})
-
-
-def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b) with a < b, from (rep, sig); and (bk, rep, sig) of the buckets whose members are all compared where they lie."""
+def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (rep, sig): pairs (a, b) with a < b of buckets of two, (bk, rep) of buckets up to CAP, and (bk, rep, n) of larger ones."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     bands = reps.select("rep", F.explode(keys).alias("bk"))
     buckets = _spark.written(bands.groupBy("bk").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi"), "buckets")
-    pairs = [buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))]
-    small = bands.join(buckets.where(F.col("n").between(3, CAP)).select("bk"), "bk").join(reps, "rep").select("bk", "rep", "sig")
-    large = buckets.where((F.col("n") > 2) & (F.col("n") > CAP)).select("bk", "n")
-    members = bands.join(large, "bk")
-    most = large.agg(F.max("n")).first()[0] or 0
-    level = 0
-    while most:
-        other = F.substring("sig", F.pmod(F.col("bk") + level, F.lit(BANDS)).cast("int") * (4 * ROWS) + 1, F.lit(4 * ROWS))
-        block = F.when(F.col("n") > CAP, F.pmod(F.xxhash64(other, F.lit(level)), F.ceil(F.col("n") * 2 / CAP))).otherwise(0)
-        found = members.join(reps, "rep").select("bk", block.alias("block"), "rep", "sig").groupBy("bk", "block").applyInArrow(_tree, "bk long, a long, b long")
-        found = _spark.written(found, "trees") if most > CAP else found
-        pairs.append(found.where("b is not null").select("a", "b"))
-        if most <= CAP or level == 8:
+    pairs = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+    large = bands.join(buckets.where("n > 2").select("bk", "n"), "bk")
+    return pairs, large.where(F.col("n") <= CAP).select("bk", "rep"), large.where(F.col("n") > CAP).select("bk", "rep", "n")
+
+
+def _blocks_of(n: Column) -> Column:
+    """Blocks by a hash hold CAP / 2 members on average, so that two of them make a task."""
+    return F.ceil(n * 2 / CAP)
+
+
+def _hot_links(hot: DataFrame, of: DataFrame, links: DataFrame, weights: Broadcast) -> DataFrame:
+    """links with those between members of large buckets. hot: (bk, rep, n); of: (rep, sig, text).
+
+    Fresh cuts into blocks by a hash of rep join most of a bucket. When a cut no
+    longer halves the number of classes, every member outside its bucket's
+    largest class meets every member of another class in some task.
+    """
+    key, names = ["bk", "x", "y"], ["bk", "x", "y", "rep", "com"]
+
+    def classed(links: DataFrame) -> DataFrame:
+        classes = components.connected_components(links)
+        return _spark.written(hot.join(classes, F.col("rep") == F.col("id"), "left").select("bk", "rep", "n", F.coalesce("component", "rep").alias("com")), "hot")
+
+    def grown(links: DataFrame, blocks: DataFrame) -> DataFrame:
+        found = blocks.join(of, "rep").groupBy(*key).applyInArrow(lambda x: _linked(x, weights), "a long, b long")
+        return _spark.written(links.union(found), "links")
+
+    now, level, before = classed(links), 0, 0
+    while True:
+        open_ = now.groupBy("bk").agg(F.countDistinct("com").alias("classes")).where("classes > 1")
+        count = open_.agg(F.sum("classes")).first()[0]
+        if not count:
+            return links
+        if before and 2 * count > before:
             break
-        hubs = found.where("b is null").join(large.where(F.col("n") > CAP), "bk", "left_semi").select("bk", F.col("a").alias("rep"))
-        sizes = hubs.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1")
-        members = hubs.join(sizes, "bk")
-        most = sizes.agg(F.max("n")).first()[0] or 0
-        large = _spark.written(sizes, "large")
-        level += 1
-    out = pairs[0]
-    for x in pairs[1:]:
-        out = out.union(x)
-    return out.distinct(), small
+        before = count
+        x = F.pmod(F.xxhash64("rep", F.lit(level)), _blocks_of(F.col("n")))
+        links = grown(links, now.join(open_, "bk", "left_semi").select("bk", x.alias("x"), F.lit(0).alias("y"), "rep", "com"))
+        now, level = classed(links), level + 1
+    sizes = now.groupBy("bk", "com").agg(F.count("*").alias("n")).groupBy("bk").agg(F.max(F.struct("n", "com")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    inside, outside = _blocks_of(F.col("most.n")), _blocks_of(F.col("n") - F.col("most.n"))
+    mine = lambda n: F.pmod(F.xxhash64("rep", F.lit(-1)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    both = now.drop("n").join(sizes, "bk")
+    rest = both.where("com != most.com")
+    one = both.where("com = most.com").select("bk", mine(inside).alias("x"), every(outside).alias("y"), "rep", "com")
+    two = rest.select("bk", every(inside).alias("x"), mine(outside).alias("y"), "rep", "com")
+    # Blocks outside the largest class meet each other where x is below 0; what shares a block has met above.
+    other = rest.select("bk", mine(outside).alias("i"), every(outside).alias("j"), "rep", "com").where("i != j")
+    three = other.select("bk", (-1 - F.least("i", "j")).alias("x"), F.greatest("i", "j").alias("y"), "rep", "com")
+    return grown(links, one.select(names).union(two.select(names)).union(three.select(names)))
 
 
 def _similar(batches: Iterator[pa.RecordBatch], table: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -361,14 +360,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = _spark.written(source.mapInArrow(lambda it: _sketch(it, table), "key long, d1 long, d2 long, sig binary"), "sketches")
     least = sketches.where("sig is not null").groupBy("d1", "d2").agg(F.min(F.struct("key", "sig")).alias("x"))
     reps = _spark.written(least.select("d1", "d2", F.col("x.key").alias("rep"), F.col("x.sig").alias("sig")), "reps")
-    pairs, small = _candidates(reps.select("rep", "sig").dropDuplicates(["rep"]))
-    pairs = _spark.written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(small.select("rep")).distinct()
+    signed = reps.select("rep", "sig").dropDuplicates(["rep"])
+    pairs, small, hot = _buckets(signed)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(small.select("rep")).union(hot.select("rep")).distinct()
     texts = _spark.written(source.join(wanted, "key", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     checked = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _similar(it, table), "a long, b long, similarity double")
-    blocks = small.join(texts.withColumnRenamed("key", "rep"), "rep").select("bk", "rep", F.col("rep").alias("com"), "sig", "text")
-    links = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b").union(blocks.groupBy("bk").applyInArrow(lambda x: _linked(x, table), "a long, b long"))
+    links = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b")
+    whole = signed.join(texts.withColumnRenamed("key", "rep"), "rep").select("rep", "sig", "text")
+    found = small.join(whole, "rep").withColumn("com", F.col("rep")).groupBy("bk").applyInArrow(lambda x: _linked(x, table), "a long, b long")
+    links = _spark.written(links.union(found), "links")
+    if not hot.isEmpty():
+        links = _hot_links(hot, whole, links, table)
     classes = components.connected_components(links)
     of = sketches.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(classes, F.col("rep") == F.col("id"), "left")
     own = F.when(F.col("sig").isNull(), F.col("key")).otherwise(F.coalesce("component", "rep"))
