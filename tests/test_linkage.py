@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlink import schema
-from weftlink.operators import assign, blocking, export, metrics, pairs, sampling, scoring, vectors
-from weftlink.plans import fixture, linkage
+from weftlink.operators import assign, blocking, export, metrics, models, pairs, sampling, scoring, vectors
+from weftlink.plans import fixture, linkage, queries
 from weftlink.sources import tables
 
 RECORDS = "entity_id string, business_name string, business_address string, country string"
@@ -205,3 +205,13 @@ def test_streaming(spark, data, tmp_path):
     batch, _ = linkage.link_by(r.s1, r.s23, linkage.word_jaccard, linkage.Settings(cap=50, k=10, threshold=0.4))
     got = spark.read.parquet(str(tmp_path / "out")).select("s1_id", "target_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select("s1_id", "target_id").collect()))
+
+
+def test_train_validate_link_is_registered_with_the_default_models(spark, data, monkeypatch):
+    seen = []
+    monkeypatch.setattr(linkage, "train_and_validate", lambda s1, s23, truth, is_train, settings: seen.append(settings))
+    monkeypatch.setattr(linkage, "link", lambda *args: (None, None))
+    monkeypatch.setattr(linkage, "result", lambda *args: None)
+    queries.QUERIES["train_validate_link"](spark, data)
+    assert seen[0].params == models.default_params()
+    assert seen[0].weights == linkage.Settings().weights

@@ -486,9 +486,8 @@ def cohesive_pool(r: fixture.Records) -> DataFrame:
 
 @query()
 def train_validate_link(r: fixture.Records) -> DataFrame:
-    """Small models, so that a run takes seconds; linkage.Settings has the full ones."""
-    small = {"gbt": {"maxIter": 3, "maxDepth": 3, "seed": schema.SEED}, "forest": {"numTrees": 5, "maxDepth": 3, "seed": schema.SEED}, "logistic": {"C": 1.0, "maxIter": 8}}
-    settings = linkage.Settings(cap=CAP, k=K, params=small, weights={"p_gbt": 0.5, "p_forest": 0.3, "p_logistic": 0.2})
+    """The models, their rounds and their blend are those of linkage.Settings."""
+    settings = linkage.Settings(cap=CAP, k=K)
     is_train = F.substring(F.md5("entity_id"), 1, 1) < "c"
     trained = linkage.train_and_validate(r.s1, r.s23, r.truth, is_train, settings)
     matches, found = linkage.link(r.s1, r.s23, trained, settings)
