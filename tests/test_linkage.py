@@ -215,3 +215,4 @@ def test_train_validate_link_is_registered_with_the_default_models(spark, data,
     queries.QUERIES["train_validate_link"](spark, data)
     assert seen[0].params == models.default_params()
     assert seen[0].weights == linkage.Settings().weights
+    assert seen[0].cap == schema.MAX_BLOCK

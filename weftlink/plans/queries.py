@@ -486,8 +486,8 @@ def cohesive_pool(r: fixture.Records) -> DataFrame:
 
 @query()
 def train_validate_link(r: fixture.Records) -> DataFrame:
-    """The models, their rounds and their blend are those of linkage.Settings."""
-    settings = linkage.Settings(cap=CAP, k=K)
+    """The cap on keys, the models, their rounds and their blend are those of linkage.Settings."""
+    settings = linkage.Settings(k=K)
     is_train = F.substring(F.md5("entity_id"), 1, 1) < "c"
     trained = linkage.train_and_validate(r.s1, r.s23, r.truth, is_train, settings)
     matches, found = linkage.link(r.s1, r.s23, trained, settings)
