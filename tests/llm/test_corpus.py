@@ -55,6 +55,17 @@ def test_words_and_hashes(limit):
     assert len(set(of.values())) == len(of)
 
 
+def test_words_of_like_structure_have_unlike_hashes():
+    """Thue-Morse words and their complements, which collide in every polynomial modulo 2**64."""
+    found = []
+    for first in "ab", "ba":
+        t = "".join(first[bin(i).count("1") % 2] for i in range(4096))
+        body, offsets = _text.utf8(pa.array([t + " " + t[:1024]]))
+        s, e, _ = _text.word_spans(body, offsets)
+        found += _text.hash_spans(body, s, e).tolist()
+    assert len(set(found)) == 4
+
+
 def test_window_hashes():
     h = np.array([5, 6, 5, 6, 5], np.uint64)
     w = _text.window_hashes(h, 2)
@@ -113,11 +124,12 @@ def test_substrings_null_and_repeated_ids(spark):
 # near duplicates
 
 
-def classes(texts, floor=neardup.FLOOR):
+def classes(texts):
     sets = [collections.Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := words(t)) else collections.Counter() for t in texts]
     df = collections.Counter(k for s in sets for k in s)
     n = len(texts)
-    weight = [{k: c * math.log(1 + n / max(df[k], floor * n, 1)) for k, c in s.items()} for s in sets]
+    weight = [{k: c * math.log(1 + n / df[k]) for k, c in s.items()} for s in sets]
+    sums = [sum(w.values()) for w in weight]
     parent = list(range(n))
 
     def root(x):
@@ -125,13 +137,15 @@ def classes(texts, floor=neardup.FLOOR):
             x = parent[x]
         return x
 
+    having = collections.defaultdict(list)
     for a in range(n):
-        for b in range(a):
+        for b in {b for k in weight[a] for b in having[k]}:
             low = sum(min(v, weight[b].get(k, 0)) for k, v in weight[a].items())
-            total = sum(weight[a].values()) + sum(weight[b].values()) - low
-            if total and low / total >= 0.8:
+            if low / (sums[a] + sums[b] - low) >= 0.8:
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
+        for k in weight[a]:
+            having[k].append(a)
     return [root(i) for i in range(n)]
 
 
@@ -142,15 +156,47 @@ def edited(text, rng, n=1):
     return " ".join(w)
 
 
+def found_classes(docs):
+    return [r.class_id for r in neardup.near_duplicates(docs).orderBy("doc_id").collect()]
+
+
 @pytest.mark.parametrize("cap", [2048, 6])
 def test_near_duplicates(spark, monkeypatch, cap):
     monkeypatch.setattr(neardup, "CAP", cap)
+    if cap == 6:  # many blocks, buckets and rounds
+        for name, value in (("BLOCK", 500), ("BUCKET", 60), ("FANOUT", 8)):
+            monkeypatch.setattr(neardup, name, value)
     rng = random.Random(4)
     base = made(2, 15, 120, 200)
     texts = [*ODD, *base, *[edited(b, rng) for b in base[:8]], *[edited(base[0], rng) for _ in range(12)], base[1], base[1], *[edited(b, rng, 60) for b in base[9:12]]]
-    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame(spark, texts).withColumns({"key": F.lit(1), "sig": F.lit(2)})).collect()}
-    assert [got[i] for i in range(len(texts))] == classes(texts)
-    assert neardup.keep_one(frame(spark, texts)).count() == len(set(classes(texts)))
+    docs = frame(spark, texts)
+    assert found_classes(docs.withColumns({"key": F.lit(1), "sig": F.lit(2), "tag": F.lit(3), "block": F.lit(4)})) == classes(texts)
+    clash = docs.withColumns({"kept_class_id": F.lit(1), "class_id": F.lit(2), "key": F.lit("k"), "row": F.lit(0), "words": F.lit(0)})
+    kept = neardup.keep_one(clash)
+    assert kept.columns == clash.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes(texts)))
+
+
+def test_document_counts(spark, monkeypatch):
+    for name, value in (("BLOCK", 300), ("BUCKET", 40), ("FANOUT", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    texts = [*ODD, *made(3, 30, 20, 60)] * 2 + made(5, 10)
+    blocks = frame(spark, texts).selectExpr("doc_id AS key", "doc_id AS tag", "text").repartition(3).mapInArrow(neardup._blocks, "block long, payload binary, docs long, shingles long").cache()
+    want = collections.Counter()
+    for t in texts:
+        w = words(t)
+        want.update({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else ())
+    rows, replies = blocks.collect(), collections.defaultdict(list)
+    for r in neardup.document_counts(blocks, sum(r.shingles for r in rows)).collect():
+        replies[r.block].append(bytes(r.payload))
+    got = {}
+    for r in rows:
+        gaps, count = neardup.unpack(bytes(r.payload))[-2:]
+        ids = np.cumsum(gaps, dtype=np.uint64)
+        got |= dict(zip(ids.tolist(), neardup._weights(ids, count, replies[r.block], 9)[0].tolist(), strict=True))
+    blocks.unpersist()
+    assert sorted(got.values()) == sorted(want.values())
+    assert sum(r.docs for r in rows) == len(texts)
 
 
 @pytest.mark.parametrize("cap", [2048, 6])
@@ -159,14 +205,46 @@ def test_near_duplicates_about_the_threshold(spark, monkeypatch, cap):
     monkeypatch.setattr(neardup, "CAP", cap)
     rng = random.Random(8)
     texts = [edited(b, rng, rng.choice([2, 3])) for b in made(9, 5, 380, 381) for _ in range(20)]
-    got = [r.class_id for r in neardup.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert found_classes(frame(spark, texts)) == classes(texts)
+
+
+@pytest.mark.parametrize("cap", [2048, 24])
+def test_near_duplicates_of_many_families(spark, monkeypatch, cap):
+    """1,200 documents in 40 families whose members lie about 0.8: at least 0.99 of them in the class that brute force gives."""
+    monkeypatch.setattr(neardup, "CAP", cap)
+    rng = random.Random(13)
+    texts = []
+    for b in made(14, 40, 200, 201):
+        for _ in range(30):
+            texts.append(edited(b, rng, rng.choice([1, 1, 2, 2, 3])))
+    want, got = classes(texts), found_classes(frame(spark, texts))
+    assert 50 < len(set(want)) < 1100
+    assert np.mean([a == b for a, b in zip(want, got, strict=True)]) >= 0.99
+
+
+def test_near_duplicates_of_one_hot_text(spark, monkeypatch):
+    """A third of all rows are copies, and as many near copies, of one text; long texts are cut by their bytes."""
+    monkeypatch.setattr(neardup, "CAP", 64)
+    monkeypatch.setattr(neardup, "HEAP", 1 << 14)
+    rng = random.Random(15)
+    base = made(16, 1, 300, 301)[0]
+    texts = [base] * 300 + [edited(base, rng) for _ in range(300)] + made(17, 290) + [x * 40 for x in made(18, 3, 200, 201) for _ in range(3)]
+    got = found_classes(frame(spark, texts).repartition(6))
     assert got == classes(texts)
 
 
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
-    rows = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
-    assert {r.doc_id for r in neardup.near_duplicates(rows).collect()} == {None, 2}
+    assert neardup.keep_one(frame(spark, [])).count() == 0
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c = made(19, 3, 40, 41)
+    rows = spark.createDataFrame([(None, a), (2, a), (2, a), (2, b), (None, c), (None, c), (7, b), (None, ""), (3, None), (3, None)], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(rows).collect())
+    assert got == {(None, 2): 1, (2, 2): 3, (None, None): 3, (7, 2): 1, (3, 3): 2}
+    kept = collections.Counter((r.doc_id, r.text) for r in neardup.keep_one(rows).collect())
+    assert kept == {(2, a): 1, (2, b): 1, (None, c): 1, (None, ""): 1, (3, None): 2}
 
 
 def test_sampling_matches_weighted_jaccard():

@@ -1,29 +1,34 @@
 """Near-duplicate classes by improved consistent weighted sampling of TF-IDF shingles.
 
-A shingle is five consecutive words (all words of a shorter text). Its weight is
-its count in the document times ``ln(1 + docs / max(df, FLOOR * docs))``: shingles
-in fewer than ``FLOOR`` of all documents share the largest weight, so only the
-frequent ones need a document count. Those are found exactly in two passes: what
-is frequent in the corpus is frequent in the rows of some task, which gives
-candidates; a second pass counts the candidates in all rows. At most
-(mean distinct shingles a document) / FLOOR shingles are frequent, whatever the
-size of the corpus, and that table alone is broadcast.
+A shingle is five consecutive words (all words of a shorter text), as a 48-bit
+hash. Its weight is its count in the document times ``ln(1 + docs / df)`` with its
+exact number of documents df. Counting goes by blocks: each task packs the
+shingles of about ``BLOCK`` windows, deals the distinct ones out by their leading
+bits as sorted, delta-coded lists, each bucket sums what it gets and answers each
+block with the counts above one. So no row is made for a single shingle, a
+frequent one reaches its bucket once from each block, and nothing is broadcast.
 
 Each document keeps, for each of BANDS * ROWS samples, the smallest sampling
 value over its shingles, which two documents share with a probability of their
 weighted Jaccard similarity. Documents that agree in all samples of a band meet
-in a bucket. A bucket of two is a candidate pair. In a larger one the samples
-give an estimate for every two members, and a walk from member to member compares
-each reached one exactly with all those not reached yet whose estimate is
-``ESTIMATE`` or more, so no link between members is missed. Buckets over ``CAP``
-are cut into blocks by a hash of the document, afresh as long as that joins many
-classes; then every two blocks with members of different classes meet. Candidates
-are verified by exact weighted Jaccard similarity of whole texts, and links form
-classes by connected components. Equal word sequences are collapsed first.
+in a bucket. The bands are taken in ``PHASES``; each compares only buckets that
+still hold several classes, so copies are moved once and not once a band. In a
+bucket the samples give an estimate for every two members, and a walk from member
+to member compares each reached one exactly, by whole weighted shingle sets, with
+all those not reached yet whose estimate is ``ESTIMATE`` or more: no link between
+members is missed. A bucket over ``CAP`` members or ``HEAP`` bytes is cut into
+blocks by a hash of the document before its members meet their sets. What such
+a bucket then still holds in several classes meets in tasks of two blocks each,
+however many those are. Links form classes by connected components.
 
 Edge cases. Null and empty texts, and texts of separators only, are classes of
-their own. A null doc_id counts as one smallest id and comes back as null. Rows
-that repeat a doc_id fall in that id's class as far as its texts are alike.
+their own. Texts, not ids, are compared: rows that repeat an id, and rows without
+one, each fall in the class of their own text. A class is named by its smallest
+id; ids that are null come last, and a class of null ids alone has the name null.
+Repeated rows are copies of each other. A long text is one block however long,
+and a bucket of long texts is cut by their bytes. An empty table gives no rows.
+Other columns may have any names. Of ties in the order of rows to keep, any row
+is as good: they are equal in id and text.
 """
 
 from __future__ import annotations
@@ -32,29 +37,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import _spark, _text, components
+from weftlink.llm._packed import pack, unpack
 
 SHINGLE = 5
 SIMILARITY = 0.8
-FLOOR = 0.005
 BANDS, ROWS = 12, 3
-CAP = 2048
+#: Bands that are compared together.
+PHASES = ((0, 1), (1, 4), (4, BANDS))
+#: Members and bytes of shingle sets that are compared in one task.
+CAP, HEAP = 2048, 16 << 20
 #: Estimates below this are no candidates: the samples' standard error at 0.8 is about 0.07.
 ESTIMATE = 0.5
-#: Frequent-shingle candidates broadcast at once.
-AT_ONCE = 2_000_000
+#: Shingles of a block, and those that a bucket counts.
+BLOCK, BUCKET = 1_000_000, 1_000_000
+#: Buckets dealt out to at once; more are reached in several rounds.
+FANOUT = 1024
 
 _U = np.uint64
-_BITS = _U(44)
+_BITS = _U(48)
 _K = BANDS * ROWS
+_WHOLE, _COUNTS, _WANTED = 0, 1, 2
 
 
 def _shingles(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles in order of document: document, 44-bit id, count; then the word hashes and their offsets."""
+    """Distinct shingles in order of document (at most 2**16 of them): document, id, count; then the word hashes and their offsets."""
     starts, ends, at = _text.word_spans(body, offsets)
     words = _text.hash_spans(body, starts, ends)
     pos, doc = _text.doc_windows(at, SHINGLE)
@@ -71,94 +82,142 @@ def _shingles(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (key >> _BITS).astype(np.int64), key & ((_U(1) << _BITS) - _U(1)), count, words, at
 
 
-def _each_chunk(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _digests(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two numbers for the word sequence of each document."""
+    out = []
+    for salt in (0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03):
+        up, down = _text._WORDS.get(len(words) + 1)
+        total = np.append(_U(0), np.cumsum(_text.mix(words ^ _U(salt)) * up[: len(words)]))
+        out.append(((total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(_U) * _U(salt)).view(np.int64))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, payload, docs, shingles) from (key, tag, text). Documents are numbered by task and row; a block's number is its first document's."""
+    context = TaskContext.get()
+    first = (context.partitionId() if context else 0) << 40
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        key, tag, d1, d2, size, ids, count = map(np.concatenate, zip(*held, strict=True))
+        payload = pack(key, tag, d1, d2, size, np.diff(ids, prepend=_U(0)), count)
+        yield pa.record_batch([pa.array([x]) for x in (first, payload, len(key), len(ids))], ["block", "payload", "docs", "shingles"])
+
     for batch in batches:
-        body, offsets = _text.utf8(batch.column(column))
-        for a, b in _text.chunks(offsets):
-            yield batch.slice(a, b - a), body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-
-
-def _longs(x: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(x.astype(np.int64))], ["id"])
-
-
-def _locally_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last rows of a task join the block before them: in a block of few rows everything would be frequent."""
-    blocks: list[tuple[list[np.ndarray], int]] = [([], 0)]
-
-    def out(block: tuple[list[np.ndarray], int]) -> Iterator[pa.RecordBatch]:
-        ids, n = np.unique(np.concatenate(block[0]), return_counts=True)
-        yield _longs(ids[n >= FLOOR * block[1]])
-
-    for _, body, offsets in _each_chunk(batches):
-        held, docs = blocks[-1]
-        held.append(_shingles(body, offsets)[1])
-        blocks[-1] = held, docs + len(offsets) - 1
-        if sum(map(len, held)) > 2_000_000:
-            if len(blocks) == 2:
-                yield from out(blocks.pop(0))
-            blocks.append(([], 0))
-    if any(held for held, _ in blocks):
-        yield from out(([x for held, _ in blocks for x in held], sum(docs for _, docs in blocks)))
-
-
-def _filter_bits(ids: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << 22, bool)
-    bits[(ids & _U((1 << 22) - 1)).astype(np.int64)] = True
-    return bits
-
-
-def _find(ids: np.ndarray, known: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of ids that are known, and where in known."""
-    maybe = np.flatnonzero(bits[(ids & _U((1 << 22) - 1)).astype(np.int64)])
-    at = np.searchsorted(known, ids[maybe])
-    hit = known[np.minimum(at, len(known) - 1)] == ids[maybe] if len(known) else np.zeros(len(maybe), bool)
-    return maybe[hit], at[hit]
-
-
-def _count_candidates(batches: Iterator[pa.RecordBatch], known: Broadcast) -> Iterator[pa.RecordBatch]:
-    ids = known.value
-    bits, n = _filter_bits(ids), np.zeros(len(ids), np.int64)
-    for _, body, offsets in _each_chunk(batches):
-        _, at = _find(_shingles(body, offsets)[1], ids, bits)
-        n += np.bincount(at, minlength=len(ids))
-    hit = np.flatnonzero(n)
-    yield pa.record_batch([pa.array(ids[hit].astype(np.int64)), pa.array(n[hit])], ["id", "df"])
-
-
-def frequent_shingles(source: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Documents, and ids in order and exact document counts of the shingles in at least FLOOR of them. source: (key, text)."""
-    sc = source.sparkSession.sparkContext
-    docs = source.count()
-    wanted = _spark.written(source.mapInArrow(_locally_frequent, "id long").distinct(), "candidates")
-    passes = -(-wanted.count() // AT_ONCE)
-    ids, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for i in range(passes):
-        part = wanted.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).toArrow().column("id").to_numpy()
-        known = sc.broadcast(np.sort(part.astype(_U)))
-        found = source.mapInArrow(lambda it, k=known: _count_candidates(it, k), "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
-        got = found.where(F.col("df") >= FLOOR * docs).toArrow()
-        ids.append(got.column("id").to_numpy().astype(_U))
-        counts.append(got.column("df").to_numpy())
-        known.unpersist()
-    every = np.concatenate(ids)
-    order = np.argsort(every)
-    return docs, every[order], np.concatenate(counts)[order]
-
-
-class _Idf:
-    """Weights of shingle ids."""
-
-    def __init__(self, docs: int, ids: np.ndarray, df: np.ndarray) -> None:
-        self.ids, self.bits = ids, _filter_bits(ids)
-        self.most = np.log(1 + docs / max(1.0, FLOOR * docs))
-        self.idf = np.minimum(np.log(1 + docs / np.maximum(df, 1)), self.most)
-
-    def weigh(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
-        out = np.full(len(ids), self.most)
-        hit, at = _find(ids, self.ids, self.bits)
-        out[hit] = self.idf[at]
-        return out * count
+        body, offsets = _text.utf8(batch.column(2))
+        keys, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        for low, high in _text.chunks(offsets):
+            for a in range(low, high, 1 << 16):
+                b = min(high, a + (1 << 16))
+                doc, ids, count, words, at = _shingles(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                size = np.bincount(doc, minlength=b - a).astype(np.uint32)
+                held.append((keys[a:b], tags[a:b], *_digests(words, at), size, ids, count.astype(np.uint32)))
+                n += len(ids)
+                if n >= BLOCK:
+                    yield from out()
+                    first += sum(len(x[0]) for x in held)
+                    held, n = [], 0
+    if held:
+        yield from out()
+
+
+def _part(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each id; buckets are in the order of the ids."""
+    return ((ids >> _U(16)) * _U(buckets) >> _U(32)).astype(np.int64)
+
+
+def _runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=part[:1] - 1)), len(part))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(part[a]), int(a), int(b)
+
+
+def _dealt(ids: np.ndarray, of: np.ndarray, docs: np.ndarray, blocks: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(part, payload): ids in order, whose block is blocks[of], with the documents of that block that have them."""
+    for part, a, b in _runs(_part(ids, buckets)):
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([pack(np.diff(ids[a:b], prepend=_U(0)), of[a:b].astype(np.uint32), docs[a:b].astype(np.uint32), blocks)], pa.binary())], ["part", "payload"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            _, _, _, _, _, gaps, _ = unpack(payload.as_py())
+            ids, docs = np.unique(np.cumsum(gaps, dtype=_U), return_counts=True)
+            if len(ids):
+                yield from _dealt(ids, np.zeros(len(ids), np.uint32), docs, np.array([block]), buckets)
+
+
+def _gathered(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids in order, their place in blocks, documents, blocks."""
+    ids, of, docs, blocks, n = [], [], [], [], 0
+    for x in payloads:
+        gaps, place, count, origin = unpack(x)
+        ids.append(np.cumsum(gaps, dtype=_U))
+        of.append(place.astype(np.int64) + n)
+        docs.append(count)
+        blocks.append(origin)
+        n += len(origin)
+    i, o, d, b = map(np.concatenate, (ids, of, docs, blocks))
+    order = np.argsort(i, kind="stable")
+    return i[order], o[order], d[order], b
+
+
+def _finer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The same, dealt out by more of the bits."""
+    held: list[bytes] = []
+    n = 0
+    for batch in batches:
+        for payload in batch.column(1):
+            held.append(payload.as_py())
+            n += len(held[-1])
+            if n >= 4 * BLOCK:
+                yield from _dealt(*_gathered(held), buckets)
+                held, n = [], 0
+    if held:
+        yield from _dealt(*_gathered(held), buckets)
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each block, its ids that several documents have, with their exact number."""
+    ids, of, docs, blocks = _gathered([x.as_py() for x in table.column("payload")])
+    head = np.flatnonzero(np.diff(ids, prepend=~ids[:1]))
+    df = np.repeat(np.add.reduceat(docs.astype(np.int64), head), np.diff(np.append(head, len(ids))))
+    several = np.flatnonzero(df > 1)
+    several = several[np.argsort(blocks[of[several]], kind="stable")]  # ids stay in order within a block
+    block = blocks[of[several]]
+    rows = [(x, pack(np.diff(ids[several[a:b]], prepend=_U(0)), df[several[a:b]].astype(np.uint32))) for x, a, b in _runs(block)]
+    return pa.table({"block": pa.array([x for x, _ in rows], pa.int64()), "payload": pa.array([x for _, x in rows], pa.binary())})
+
+
+def document_counts(blocks: DataFrame, shingles: int) -> DataFrame:
+    """(block, payload): counts of the shingles of each block that are in more than one document of the corpus."""
+    rounds = [max(1, -(-shingles // BUCKET))]
+    while rounds[0] > FANOUT:
+        rounds.insert(0, -(-rounds[0] // FANOUT))
+    for i in range(1, len(rounds)):
+        rounds[i] = rounds[i - 1] * FANOUT
+    kind = "part int, payload binary"
+    dealt = blocks.select("block", "payload").mapInArrow(lambda it, b=rounds[0]: _deal(it, b), kind)
+    for b in rounds[1:]:
+        dealt = dealt.repartition(min(b // FANOUT, 20_000), "part").mapInArrow(lambda it, b=b: _finer(it, b), kind)
+    # as many partitions as buckets, so that a task's share doesn't depend on the session
+    dealt = dealt.repartition(min(rounds[-1], 20_000), "part")
+    return dealt.groupBy("part").applyInArrow(_count, "block long, payload binary")
+
+
+def _weights(ids: np.ndarray, count: np.ndarray, payloads: list[bytes], docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that have each shingle, and its weight."""
+    df = np.ones(len(ids), np.int64)
+    found = [unpack(x) for x in payloads]
+    if found:
+        known = np.concatenate([np.cumsum(x[0], dtype=_U) for x in found])
+        order = np.argsort(known)
+        known, n = known[order], np.concatenate([x[1] for x in found])[order]
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        df = np.where(known[at] == ids, n[at], 1).astype(np.int64)
+    return df, count * np.log(1 + docs / df)
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -208,50 +267,77 @@ class _Sampler:
 _sampler: list[_Sampler] = []
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], table: Broadcast) -> Iterator[pa.RecordBatch]:
-    idf = _Idf(*table.value)
+def _opened(table: pa.Table) -> tuple[int, list[np.ndarray], list[bytes], np.ndarray]:
+    """Of the rows of one block: its number, its arrays, the counts, and the documents wanted."""
+    kind, payload, rids = table.column("kind").to_numpy(), table.column("payload"), table.column("rids")
+    whole = unpack(payload[int(np.flatnonzero(kind == _WHOLE)[0])].as_py())
+    wanted = [rids[int(i)].values.to_numpy() for i in np.flatnonzero(kind == _WANTED)]
+    return table.column("block")[0].as_py(), whole, [payload[int(i)].as_py() for i in np.flatnonzero(kind == _COUNTS)], np.concatenate([np.zeros(0, np.int64), *wanted])
+
+
+def _sketch(table: pa.Table, docs: int) -> pa.Table:
+    """(rid, block, key, tag, d1, d2, size, sig) of the documents of one block; sig is null where there are no words."""
     if not _sampler:
         _sampler.append(_Sampler())
-    for batch, body, offsets in _each_chunk(batches):
-        doc, ids, count, words, at = _shingles(body, offsets)
-        some = np.flatnonzero(np.diff(at))
-        heads = np.searchsorted(doc, some)
-        signs = np.empty((len(some), _K), np.float32)
-        weights = idf.weigh(ids, count)
-        for a, b in _text.chunks(np.append(heads, len(doc)), 1 << 16):
-            lo, hi = heads[a], heads[b] if b < len(heads) else len(doc)
-            signs[a:b] = _sampler[0].sample(ids[lo:hi], weights[lo:hi], heads[a:b] - lo)
-        sums = [np.zeros(len(at) - 1, _U) for _ in range(2)]
-        for out, salt in zip(sums, (0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03), strict=True):
-            up, down = _text._WORDS.get(len(words) + 1)
-            total = np.append(_U(0), np.cumsum(_text.mix(words ^ _U(salt)) * up[: len(words)]))
-            out[:] = (total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(_U) * _U(salt)
-        sig = np.full(len(at) - 1, None, object)
-        sig[some] = [x.tobytes() for x in signs]
-        yield pa.record_batch([batch.column(0), *(pa.array(x.view(np.int64)) for x in sums), pa.array(sig, pa.binary())], ["key", "d1", "d2", "sig"])
-
-
-_idfs: list[tuple[tuple[int, np.ndarray, np.ndarray], _Idf]] = []
-
-
-def _idf_of(table: Broadcast) -> _Idf:
-    """One for each table and Python worker: groups are many and small."""
-    if not _idfs or _idfs[0][0] is not table.value:
-        _idfs[:] = [(table.value, _Idf(*table.value))]
-    return _idfs[0][1]
-
-
-def _linked(table: pa.Table, weights: Broadcast) -> pa.Table:
-    """Links of one block that span the classes of its members: every two of different com are compared unless a link found earlier joins them."""
-    reps, n = table.column("rep").to_numpy(), len(table)
-    sig = np.frombuffer(b"".join(x.as_py() for x in table.column("sig")), np.float32).reshape(n, _K)
-    body, offsets = _text.utf8(table.column("text").combine_chunks())
-    parts = [(x + a, *rest) for a, b in _text.chunks(offsets) for x, *rest in [_shingles(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[:3]]]
-    doc, ids, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    weight = _idf_of(weights).weigh(ids, count)
-    total, start = np.bincount(doc, weight, n), np.searchsorted(doc, np.arange(n + 1))
-    shingle = np.unique(ids, return_inverse=True)[1]
-    label = np.unique(table.column("com").to_numpy(), return_inverse=True)[1]
+    block, (key, tag, d1, d2, sizes, gaps, count), counts, _ = _opened(table)
+    ids = np.cumsum(gaps, dtype=_U)
+    _, weights = _weights(ids, count, counts, docs)
+    some = np.flatnonzero(sizes)
+    heads = (np.cumsum(sizes, dtype=np.int64) - sizes)[some]
+    signs = np.empty((len(some), _K), np.float32)
+    for a, b in _text.chunks(np.append(heads, len(ids)), 1 << 16):
+        lo, hi = heads[a], heads[b] if b < len(heads) else len(ids)
+        signs[a:b] = _sampler[0].sample(ids[lo:hi], weights[lo:hi], heads[a:b] - lo)
+    sig = np.full(len(sizes), None, object)
+    sig[some] = [x.tobytes() for x in signs]
+    rid = block + np.arange(len(sizes))
+    return pa.table({"rid": rid, "block": np.full(len(rid), block), "key": key, "tag": tag, "d1": d1, "d2": d2, "size": sizes.astype(np.int64), "sig": pa.array(sig, pa.binary())})
+
+
+def _sets(table: pa.Table, docs: int) -> pa.Table:
+    """(rid, set) of the wanted documents of one block: packed ids, counts and document counts."""
+    block, (_, _, _, _, sizes, gaps, count), counts, wanted = _opened(table)
+    out = []
+    if len(wanted):
+        ids = np.cumsum(gaps, dtype=_U)
+        df, _ = _weights(ids, count, counts, docs)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        for i in np.sort(wanted - block):
+            a, b = ends[i] - sizes[i], ends[i]
+            out.append((block + int(i), pack(np.diff(ids[a:b], prepend=_U(0)), count[a:b], df[a:b].astype(np.uint32))))
+    return pa.table({"rid": pa.array([x for x, _ in out], pa.int64()), "set": pa.array([x for _, x in out], pa.binary())})
+
+
+class _Members:
+    """Members of some buckets with their weighted shingle sets: ids, weight and start of each member's shingles."""
+
+    def __init__(self, com: np.ndarray, sig: np.ndarray, sets: list[bytes], docs: int) -> None:
+        found = [unpack(x) for x in sets]
+        self.com, self.sig, self.n = com, sig, len(com)
+        self.ids = np.concatenate([np.cumsum(x[0], dtype=_U) for x in found])
+        self.weight = np.concatenate([x[1] for x in found]) * np.log(1 + docs / np.concatenate([x[2] for x in found]))
+        sizes = np.array([len(x[0]) for x in found])
+        self.start = np.append(0, np.cumsum(sizes))
+        self.total = np.add.reduceat(self.weight, self.start[:-1])
+
+
+def _pairs(m: _Members) -> list[tuple[int, int]]:
+    """Links of buckets of two, whose members are next to each other."""
+    a, b, pair = m.sig[0::2], m.sig[1::2], np.arange(m.n // 2)
+    sizes = np.diff(m.start)
+    of = np.repeat(np.arange(m.n), sizes)
+    place = np.unique(m.ids, return_inverse=True)[1] + (of // 2) * len(m.ids)
+    even = of % 2 == 0
+    _, i, j = np.intersect1d(place[even], place[~even], assume_unique=True, return_indices=True)
+    low = np.bincount((of[even] // 2)[i], np.minimum(m.weight[even][i], m.weight[~even][j]), m.n // 2)
+    close = ((a == b).sum(1) >= ESTIMATE * _K) & (low / (m.total[0::2] + m.total[1::2] - low) >= SIMILARITY)
+    return [(int(m.com[2 * x]), int(m.com[2 * x + 1])) for x in pair[close]]
+
+
+def _linked(m: _Members) -> list[tuple[int, int]]:
+    """Links that span the classes of the members of one block: every two of different com are compared unless a link found earlier joins them."""
+    n, shingle = m.n, np.unique(m.ids, return_inverse=True)[1]
+    label = np.unique(m.com, return_inverse=True)[1]
     order = np.argsort(label, kind="stable")
     group = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
     left, own = np.ones(n, bool), np.zeros(shingle.max() + 1)
@@ -262,125 +348,194 @@ def _linked(table: pa.Table, weights: Broadcast) -> pa.Table:
         while reached:
             at = reached.pop()
             near = np.flatnonzero(left)
-            near = near[(sig[near] == sig[at]).sum(1) >= ESTIMATE * _K]
-            own[shingle[start[at] : start[at + 1]]] = weight[start[at] : start[at + 1]]
-            ends = np.append(0, np.cumsum(start[near + 1] - start[near]))
+            near = near[(m.sig[near] == m.sig[at]).sum(1) >= ESTIMATE * _K]
+            mine = slice(m.start[at], m.start[at + 1])
+            own[shingle[mine]] = m.weight[mine]
+            ends = np.append(0, np.cumsum(m.start[near + 1] - m.start[near]))
             for a, b in _text.chunks(ends):
                 some, heads = near[a:b], ends[a:b] - ends[a]
-                pos = np.repeat(start[some] - heads, np.diff(ends[a : b + 1])) + np.arange(ends[b] - ends[a])
-                low = np.add.reduceat(np.minimum(weight[pos], own[shingle[pos]]), heads)
-                for x in some[low / (total[at] + total[some] - low) >= SIMILARITY]:
+                pos = np.repeat(m.start[some] - heads, np.diff(ends[a : b + 1])) + np.arange(ends[b] - ends[a])
+                low = np.add.reduceat(np.minimum(m.weight[pos], own[shingle[pos]]), heads)
+                for x in some[low / (m.total[at] + m.total[some] - low) >= SIMILARITY]:
                     if left[x]:
-                        links.append((reps[at], reps[x]))
+                        links.append((int(m.com[seed]), int(m.com[x])))
                         left[group[label[x]]] = False
                         reached.extend(group[label[x]].tolist())
-            own[shingle[start[at] : start[at + 1]]] = 0
-    return pa.table({"a": pa.array([int(min(x)) for x in links], pa.int64()), "b": pa.array([int(max(x)) for x in links], pa.int64())})
+            own[shingle[mine]] = 0
+    return links
 
 
-def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From (rep, sig): pairs (a, b) with a < b of buckets of two, (bk, rep) of buckets up to CAP, and (bk, rep, n) of larger ones."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    bands = reps.select("rep", F.explode(keys).alias("bk"))
-    buckets = _spark.written(bands.groupBy("bk").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi"), "buckets")
-    pairs = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
-    large = bands.join(buckets.where("n > 2").select("bk", "n"), "bk")
-    return pairs, large.where(F.col("n") <= CAP).select("bk", "rep"), large.where(F.col("n") > CAP).select("bk", "rep", "n")
+def _compare(batches: Iterator[pa.RecordBatch], docs: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between classes from rows (bk, x, y, com, sig, set) that lie together by (bk, x, y)."""
+    held: list[tuple] = []  # rows of whole blocks of two
+    block: list[tuple] = []
 
+    def members(rows: list[tuple]) -> _Members:
+        sig = np.frombuffer(b"".join(r[4] for r in rows), np.float32).reshape(len(rows), _K)
+        return _Members(np.array([r[3] for r in rows]), sig, [r[5] for r in rows], docs)
 
-def _blocks_of(n: Column) -> Column:
-    """Blocks by a hash hold CAP / 2 members on average, so that two of them make a task."""
-    return F.ceil(n * 2 / CAP)
+    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([f(x) for x in links], pa.int64()) for f in (min, max)], ["a", "b"])
 
+    def closed() -> Iterator[pa.RecordBatch]:
+        if len({r[3] for r in block}) > 1:
+            if len(block) == 2:
+                held.extend(block)
+            else:
+                yield out(_linked(members(block)))
+        block.clear()
+        if sum(len(r[5]) for r in held) > 2 << 20:
+            yield out(_pairs(members(held)))
+            held.clear()
 
-def _hot_links(hot: DataFrame, of: DataFrame, links: DataFrame, weights: Broadcast) -> DataFrame:
-    """links with those between members of large buckets. hot: (bk, rep, n); of: (rep, sig, text).
+    for batch in batches:
+        for a in range(0, len(batch), 256):
+            part = batch.slice(a, 256)
+            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if block and block[-1][:3] != row[:3]:
+                    yield from closed()
+                block.append(row)
+    yield from closed()
+    if held:
+        yield out(_pairs(members(held)))
 
-    Fresh cuts into blocks by a hash of rep join most of a bucket. When a cut no
-    longer halves the number of classes, every member outside its bucket's
-    largest class meets every member of another class in some task.
-    """
-    key, names = ["bk", "x", "y"], ["bk", "x", "y", "rep", "com"]
-
-    def classed(links: DataFrame) -> DataFrame:
-        classes = components.connected_components(links)
-        return _spark.written(hot.join(classes, F.col("rep") == F.col("id"), "left").select("bk", "rep", "n", F.coalesce("component", "rep").alias("com")), "hot")
-
-    def grown(links: DataFrame, blocks: DataFrame) -> DataFrame:
-        found = blocks.join(of, "rep").groupBy(*key).applyInArrow(lambda x: _linked(x, weights), "a long, b long")
-        return _spark.written(links.union(found), "links")
-
-    now, level, before = classed(links), 0, 0
-    while True:
-        open_ = now.groupBy("bk").agg(F.countDistinct("com").alias("classes")).where("classes > 1")
-        count = open_.agg(F.sum("classes")).first()[0]
-        if not count:
-            return links
-        if before and 2 * count > before:
-            break
-        before = count
-        x = F.pmod(F.xxhash64("rep", F.lit(level)), _blocks_of(F.col("n")))
-        links = grown(links, now.join(open_, "bk", "left_semi").select("bk", x.alias("x"), F.lit(0).alias("y"), "rep", "com"))
-        now, level = classed(links), level + 1
-    sizes = now.groupBy("bk", "com").agg(F.count("*").alias("n")).groupBy("bk").agg(F.max(F.struct("n", "com")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
-    inside, outside = _blocks_of(F.col("most.n")), _blocks_of(F.col("n") - F.col("most.n"))
-    mine = lambda n: F.pmod(F.xxhash64("rep", F.lit(-1)), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    both = now.drop("n").join(sizes, "bk")
+
+def _links(blocks: DataFrame, sets: DataFrame, docs: int) -> DataFrame:
+    """(a, b) between classes of members of the same block. blocks: (bk, x, y, rid, com); sets: (rid, sig, set)."""
+    rows = blocks.join(sets, "rid").select("bk", "x", "y", "com", "sig", "set")
+    rows = rows.repartition("bk", "x", "y").sortWithinPartitions("bk", "x", "y")
+    return rows.mapInArrow(lambda it: _compare(it, docs), "a long, b long")
+
+
+def _blocks_of(n: Column, size: Column) -> Column:
+    """Blocks by a hash hold half of CAP and of HEAP on average, so that two of them make a task. A shingle takes about 6 bytes."""
+    return F.greatest(F.ceil(n * 2 / CAP), F.ceil(size * 12 / HEAP), F.lit(1)).cast("long")
+
+
+def _hot(n: Column, size: Column) -> Column:
+    return (n > CAP) | (size * 6 > HEAP)
+
+
+def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """state (rid, size, com) with the classes that links join made one."""
+    links = _spark.written(links.distinct(), "links")
+    if links.isEmpty():
+        return state
+    classes = components.connected_components(links)
+    out = _spark.written(state.join(classes, F.col("com") == F.col("id"), "left").select("rid", "size", F.coalesce("component", "com").alias("com")), "classes")
+    _spark.drop(state, links, classes)
+    return out
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """(bk, n, all) of the buckets that hold several classes, one of those with equal members. members: (bk, rid, size, com)."""
+    same = ["n", "all", "low", "high", "mark"]
+    sums = members.groupBy("bk").agg(
+        F.count("*").alias("n"), F.sum("size").alias("all"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.bit_xor(F.xxhash64("rid")).alias("mark"), F.min("com").alias("c0"), F.max("com").alias("c1"),
+    )
+    return sums.where("c0 != c1").groupBy(*same).agg(F.min("bk").alias("bk")).select("bk", "n", "all")
+
+
+def _classes(members: DataFrame, state: DataFrame, sets: DataFrame, docs: int) -> DataFrame:
+    """(rid, size, com): the smallest rid of the class of each member. state: the same with each in a class of its own."""
+    n, size = F.col("n"), F.col("all")
+    for low, high in PHASES:
+        some = members.where((F.col("band") >= low) & (F.col("band") < high)).select("bk", "rid").join(state, "rid")
+        x = F.when(_hot(n, size), F.pmod(F.xxhash64("rid", F.lit(low)), _blocks_of(n, size))).otherwise(F.lit(0).cast("long"))
+        blocks = some.join(_open(some), "bk").select("bk", x.alias("x"), F.lit(0).cast("long").alias("y"), "rid", "com")
+        state = _merged(state, _links(blocks, sets, docs))
+    every = members.select("bk", "rid").join(state, "rid")
+    hot = _spark.written(every.join(_open(every).where(_hot(n, size)).select("bk"), "bk"), "hot")
+    if hot.isEmpty():
+        return state
+    out = _merged(state, _links(_across(hot), sets, docs))
+    _spark.drop(hot)
+    return out
+
+
+def _across(hot: DataFrame) -> DataFrame:
+    """Blocks in which every member of a hot bucket outside its largest class meets every member of another class. hot: (bk, rid, size, com)."""
+    sizes = hot.groupBy("bk", "com").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    sizes = sizes.groupBy("bk").agg(F.max(F.struct("n", "com", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    inside, outside = _blocks_of(F.col("most.n"), F.col("most.s")), _blocks_of(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s"))
+    mine = lambda n: F.pmod(F.xxhash64("rid", F.lit(-1)), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    both = hot.drop("size").join(sizes, "bk")
     rest = both.where("com != most.com")
-    one = both.where("com = most.com").select("bk", mine(inside).alias("x"), every(outside).alias("y"), "rep", "com")
-    two = rest.select("bk", every(inside).alias("x"), mine(outside).alias("y"), "rep", "com")
-    # Blocks outside the largest class meet each other where x is below 0; what shares a block has met above.
-    other = rest.select("bk", mine(outside).alias("i"), every(outside).alias("j"), "rep", "com").where("i != j")
-    three = other.select("bk", (-1 - F.least("i", "j")).alias("x"), F.greatest("i", "j").alias("y"), "rep", "com")
-    return grown(links, one.select(names).union(two.select(names)).union(three.select(names)))
+    one = both.where("com = most.com").select("bk", mine(inside).alias("x"), each(outside).alias("y"), "rid", "com")
+    two = rest.select("bk", each(inside).alias("x"), mine(outside).alias("y"), "rid", "com")
+    # Blocks outside the largest class meet each other where x is below 0; what shares a block meets in each task of that block.
+    other = rest.select("bk", mine(outside).alias("i"), each(outside).alias("j"), "rid", "com").where("i != j")
+    three = other.select("bk", (-1 - F.least("i", "j")).alias("x"), F.greatest("i", "j").alias("y"), "rid", "com")
+    return one.union(two).union(three)
 
 
-def _similar(batches: Iterator[pa.RecordBatch], table: Broadcast) -> Iterator[pa.RecordBatch]:
-    idf = _Idf(*table.value)
-    for batch in batches:
-        for x in range(0, len(batch), 256):
-            part = batch.slice(x, 256)
-            sets = []
-            for column in (2, 3):
-                doc, ids, count, _, _ = _shingles(*_text.utf8(part.column(column)))
-                sets.append((doc.astype(_U) << _BITS | ids, idf.weigh(ids, count), doc))
-            (ka, wa, da), (kb, wb, db) = sets
-            _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-            low = np.bincount(da[i], np.minimum(wa[i], wb[j]), len(part))
-            total = np.bincount(da, wa, len(part)) + np.bincount(db, wb, len(part)) - low
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(low / np.maximum(total, 1e-300))], ["a", "b", "similarity"])
+def _by_block(*kinds: tuple[int, DataFrame]) -> DataFrame:
+    """Tables (block, payload) or (block, rids) as one (block, kind, payload, rids)."""
+    rows = [df.select("block", F.lit(kind).alias("kind"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("payload", "binary"), ("rids", "array<long>")))) for kind, df in kinds]
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.union(df)
+    return out.groupBy("block")
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """(bk, band, rid) of the buckets with several members, from (rid, sig)."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bk")))
+    bands = reps.select("rid", F.explode(keys).alias("x")).select("x.bk", "x.band", "rid")
+    several = bands.groupBy("bk").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high")
+    return bands.join(several.select("bk"), "bk")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(key, rid, d1, d2, words) of each row, and (d1, d2, no_id, key, tag) of each text with words: its class's document of the smallest id.
+
+    tag is a hash of the text; key is the id, _spark.NULL_ID for null, and no_id whether it is null.
+    """
+    spark = docs.sparkSession
+    text = F.col(text_col).cast("string")
+    source = docs.select(_spark.id_or_min(id_col).alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    blocks = _spark.written(source.mapInArrow(_blocks, "block long, payload binary, docs long, shingles long"), "blocks")
+    n = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("shingles")).first()
+    total = n.docs
+    counts = _spark.written(document_counts(blocks, n.shingles), "counts")
+    _spark.free_shuffles(spark)
+    sketched = _by_block((_WHOLE, blocks), (_COUNTS, counts)).applyInArrow(lambda t: _sketch(t, total), "rid long, block long, key long, tag long, d1 long, d2 long, size long, sig binary")
+    sketches = _spark.written(sketched, "sketches")
+    _spark.free_shuffles(spark)
+    best = F.struct((F.col("key") == _spark.NULL_ID).alias("no_id"), "key", "tag")
+    texts = sketches.where("sig is not null").groupBy("d1", "d2").agg(F.min(F.struct("rid", "block", "size", "sig")).alias("x"), F.min(best).alias("best"))
+    reps = _spark.written(texts.select("d1", "d2", "x.*", "best"), "reps")
+    members = _spark.written(_members(reps.select("rid", "sig")), "members")
+    own = reps.join(members.select("rid").distinct(), "rid", "left_semi")
+    wanted = own.groupBy("block").agg(F.collect_list("rid").alias("rids"))
+    sets = _by_block((_WHOLE, blocks), (_COUNTS, counts), (_WANTED, wanted)).applyInArrow(lambda t: _sets(t, total), "rid long, set binary")
+    sets = _spark.written(sets.join(reps.select("rid", "sig"), "rid"), "sets")
+    _spark.drop(blocks, counts)
+    _spark.free_shuffles(spark)
+    state = _classes(members, _spark.written(own.select("rid", "size", F.col("rid").alias("com")), "classes"), sets, total)
+    _spark.drop(sets, members)
+    of = reps.select("d1", "d2", "rid", "best").join(state.select("rid", "com"), "rid", "left").select("d1", "d2", "best", F.coalesce("com", "rid").alias("com"))
+    first = of.groupBy("com").agg(F.min("best").alias("best"))
+    named = of.select("d1", "d2", "com").join(first, "com").select("d1", "d2", "best.*")
+    return sketches.select("key", "rid", "d1", "d2", F.col("sig").isNotNull().alias("words")), named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id with class_id, the smallest id of its class of near duplicates (its own, if it has none)."""
-    sc = docs.sparkSession.sparkContext
-    source = docs.select(_spark.id_or_min(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    table = sc.broadcast(frequent_shingles(source))
-    sketches = _spark.written(source.mapInArrow(lambda it: _sketch(it, table), "key long, d1 long, d2 long, sig binary"), "sketches")
-    least = sketches.where("sig is not null").groupBy("d1", "d2").agg(F.min(F.struct("key", "sig")).alias("x"))
-    reps = _spark.written(least.select("d1", "d2", F.col("x.key").alias("rep"), F.col("x.sig").alias("sig")), "reps")
-    signed = reps.select("rep", "sig").dropDuplicates(["rep"])
-    pairs, small, hot = _buckets(signed)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(small.select("rep")).union(hot.select("rep")).distinct()
-    texts = _spark.written(source.join(wanted, "key", "left_semi"), "texts")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    checked = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _similar(it, table), "a long, b long, similarity double")
-    links = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-    whole = signed.join(texts.withColumnRenamed("key", "rep"), "rep").select("rep", "sig", "text")
-    found = small.join(whole, "rep").withColumn("com", F.col("rep")).groupBy("bk").applyInArrow(lambda x: _linked(x, table), "a long, b long")
-    links = _spark.written(links.union(found), "links")
-    if not hot.isEmpty():
-        links = _hot_links(hot, whole, links, table)
-    classes = components.connected_components(links)
-    of = sketches.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(classes, F.col("rep") == F.col("id"), "left")
-    own = F.when(F.col("sig").isNull(), F.col("key")).otherwise(F.coalesce("component", "rep"))
-    return of.select(_spark.id_back("key").alias(id_col), F.when(own != _spark.NULL_ID, own).alias("class_id"))
+    rows, named = _classified(docs, id_col, text_col)
+    named = named.select("d1", "d2", F.col("key").alias("class_key"))
+    out = rows.select("key", "d1", "d2").where("words").join(named, ["d1", "d2"], "left").union(rows.where("not words").select("d1", "d2", "key", F.col("key").alias("class_key")))
+    return out.select(_spark.id_back("key").alias(id_col), _spark.id_back("class_key").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near duplicates: of each class the row of the smallest id, once. Rows without an id stay."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("class_id")).select(F.col("class_id").alias("kept_class_id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    one = named.join(kept, named[id_col].cast("long") == F.col("kept_class_id"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs without near duplicates: of each class one row of the smallest id. Rows without words stay."""
+    _, named = _classified(docs, id_col, text_col)
+    kept = named.select("key", "tag").distinct()
+    text = F.col(text_col).cast("string")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    words = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    rows = docs.select(row.alias("row"), _spark.id_or_min(id_col).alias("key"), F.xxhash64(text).alias("tag"), words.alias("words"))
+    one = rows.where("words").join(kept, ["key", "tag"], "left_semi").groupBy("key", "tag").agg(F.first("row").alias("row"))
+    return one.select("row.*").union(rows.where("not words").select("row.*"))

@@ -21,8 +21,6 @@ that repeat a doc_id share the removals of that id, clipped to their length.
 
 from __future__ import annotations
 
-import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import _spark, _text
+from weftlink.llm._packed import pack as _pack
+from weftlink.llm._packed import unpack as _unpack
 
 WIDTH = 20
 BLOCK = 2_500_000
@@ -41,29 +41,6 @@ _U = np.uint64
 _REMOVED = "part int, payload binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as byte planes, compressed."""
-    codec = pa.Codec("zstd", compression_level=1)
-    out = [struct.pack("<B", len(arrays))]
-    for x in arrays:
-        raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-        body = codec.compress(raw, asbytes=True)
-        out.append(struct.pack("<2sQQ", x.dtype.str[1:].encode(), len(x), len(body)) + body)
-    return b"".join(out)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    codec, at, out = pa.Codec("zstd"), 1, []
-    for _ in range(data[0]):
-        kind, n, size = struct.unpack_from("<2sQQ", data, at)
-        at += struct.calcsize("<2sQQ")
-        dtype = np.dtype("<" + kind.decode())
-        raw = codec.decompress(data[at : at + size], n * dtype.itemsize, asbytes=True)
-        out.append(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n).T.copy().view(dtype).reshape(n))
-        at += size
-    return out
-
-
 def _pack_windows(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
     """Sorted hashes with their places."""
     ids, of = np.unique(docs, return_inverse=True)
