@@ -7,6 +7,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from weakref import WeakKeyDictionary
 
@@ -53,9 +54,14 @@ def drop(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Asks the driver's collector to find ended plans, whose shuffle files Spark then removes; else they wait for chance."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Asks the driver's collector to find ended plans, whose shuffle files Spark then removes; else they wait for chance.
+
+    Twice, as the events of the last job still hold its plan for a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def id_or_min(name: str) -> Column:
