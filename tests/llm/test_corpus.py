@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftlink.llm import _text, bpe, components, line_dedup, mixing, neardup, prefix_forest, quality, substrings, token_counts, tokenizer_spec, topk, toxicity, vectors
+from weftlink.llm import _text, bpe, components, line_dedup, mixing, neardup, prefix_forest, quality, queries, substrings, token_counts, tokenizer_spec, topk, toxicity, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -399,6 +399,39 @@ def test_mix(spark):
     assert mixing.mix(frame(spark, []), [3, 1, 2]).count() == 0
 
 
+def sql_of(name, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for k, v in tables.items():
+        con.register(k, pa.Table.from_pandas(v))
+    return con.sql(queries.ORACLE_SQL[name]).fetchall()
+
+
+@pytest.mark.parametrize("few", [mixing.FEW, 0])
+def test_mix_of_repeated_rows_and_null_ids(spark, monkeypatch, few):
+    """Equal rows at the cut are taken one by one, and as many as the SQL takes."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    rng = random.Random(21)
+    texts = ["w w w w w w w w"] * 400 + ["x " * rng.choice([1, 7, 90]) for _ in range(300)] + [None, "", "y"] * 30
+    sources = ["a"] * 400 + [rng.choice(["b", None, "c"]) for _ in range(300)] + ["b"] * 90
+    ids = [5] * 400 + [rng.choice([None, i, i // 4]) for i in range(300)] + [None, 1, 2] * 30
+    docs = spark.createDataFrame([(*x, "t") for x in zip(ids, texts, sources, strict=True)], "doc_id long, text string, source string, target string").repartition(5)
+    got = mixing.mix(docs, [3, 1, 2]).select("doc_id", "size", "source_size", "target", "taken", "source").collect()
+    for s in ("a", "b", None, "c"):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 8
+    order = lambda rows: sorted((tuple(-1 if x is None else x for x in r[:5]) for r in rows))
+    frame_ = docs.toPandas().astype({"doc_id": "Int64"})
+    assert order(got) == order(sql_of("op2_mix_sources", documents=frame_))
+    out = mixing.mixed_documents(docs, [3, 1, 2])
+    assert out.columns == docs.columns
+    size = collections.Counter()
+    for r in out.collect():
+        size[r.source] += len(words(r.text))
+    assert size == collections.Counter({s: sum(r.taken for r in got if r.source == s) for s in ("a", "b", None, "c")})
+
+
 def test_mix_with_unequal_weights(spark):
     docs = frame(spark, ["w w w w"] * 600, "s").withColumn("good", F.when(F.col("doc_id") < 300, 3.0).otherwise(1.0))
     rows = mixing.mix(docs, [1], share=0.25, weight_col="good").collect()

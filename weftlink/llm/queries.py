@@ -50,16 +50,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _cut_sql(n: int, before: str, final: bool) -> str:
-    """One cut of the mix: rows not chosen yet, in order of rank, while they fit into what is left."""
+def _fill_sql(n: int, final: bool) -> str:
+    """Once more through the documents after the cut, in order of rank, for what is left of the gap."""
     fits = "over <= 0 OR (over < size AND 2 * over <= size)" if final else "over <= 0"
-    room = "TRUE" if final else "size <= gap"
+    able = "open" if final else "open AND size <= gap"
     return f"""
-    gap{n} AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM {before}),
-    cut{n} AS (
-      SELECT * EXCLUDE (chosen, gap, open, over), chosen OR (open AND ({fits}) AND gap > 0) AS chosen FROM (
-        SELECT *, sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, CAST(doc_id AS VARCHAR), size ROWS UNBOUNDED PRECEDING) - gap AS over
-        FROM (SELECT *, rank IS NOT NULL AND NOT chosen AND {room} AS open FROM gap{n})) AS x0)"""
+    gap{n} AS (SELECT *, gap0 - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM fill{n - 1}),
+    fill{n} AS (
+      SELECT * EXCLUDE (gap, more, open, able, over), open AND NOT (able AND ({fits}) AND gap > 0) AS open, more OR (able AND ({fits}) AND gap > 0) AS more FROM (
+        SELECT *, {able} AS able, sum(CASE WHEN {able} THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, CAST(doc_id AS VARCHAR) NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - gap AS over FROM gap{n}) AS x0)"""
 
 
 ORACLE_SQL["op2_mix_sources"] = f"""
@@ -80,17 +79,21 @@ targets AS (
   SELECT source, source_size, least(cap, coalesce((SELECT level FROM level) * w, cap)) AS target FROM ordered),
 rated AS (
   SELECT d.*, t.source_size, t.target, least(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END, CAST(2.0 AS DOUBLE)) AS rate,
-         (CAST(CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR) || ':17'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+         (CAST(CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':17'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 odds AS (
   SELECT *, floor(rate) AS whole, CASE WHEN rate > floor(rate) THEN (u / (1 - u)) / ((rate - floor(rate)) / (1 - (rate - floor(rate)))) END AS odds FROM rated),
 ranked AS (
   SELECT doc_id, source, size, source_size, target, whole, odds / (1 + odds) AS rank,
-         target - sum(whole * size) OVER (PARTITION BY source) AS rest, FALSE AS chosen FROM odds),
-{_cut_sql(1, "ranked", False)},
-{_cut_sql(2, "cut1", False)},
-{_cut_sql(3, "cut2", True)}
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN chosen THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM cut3
+         target - sum(whole * size) OVER (PARTITION BY source) AS rest FROM odds),
+run AS (
+  SELECT *, rank IS NOT NULL AND sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, CAST(doc_id AS VARCHAR) NULLS FIRST, size ROWS UNBOUNDED PRECEDING) <= rest AS main FROM ranked),
+fill0 AS (
+  SELECT *, rest - sum(CASE WHEN main THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap0, FALSE AS more,
+         rank IS NOT NULL AND NOT main AND sum(CASE WHEN rank IS NOT NULL AND NOT main THEN 1 ELSE 0 END)
+           OVER (PARTITION BY source ORDER BY rank NULLS LAST, CAST(doc_id AS VARCHAR) NULLS FIRST, size ROWS UNBOUNDED PRECEDING) <= {mixing.LOOK} AS open FROM run),
+{",".join(_fill_sql(i, i == mixing.FILLS + 1) for i in range(1, mixing.FILLS + 2))}
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN main OR more THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM fill{mixing.FILLS + 1}
 """
 
 
