@@ -13,12 +13,15 @@ that is emptied when it grows beyond ``STATES``; the state at a piece's end is n
 kept in two generations of at most ``PIECES`` each.
 
 Decoding. Token bytes run through the UTF-8 automaton of the well-formed byte
-sequences; characters are given out as soon as they are complete, and a token
-that is complete text on its own skips the byte loop.
+sequences; characters are given out as soon as they are complete. Ids come in
+portions of any size, and only the automaton's state is kept between them.
 
 Edge cases. A null text is an empty one and has no tokens. Text that looks like
 a special token is ordinary text. Ids outside the vocabulary raise KeyError.
-Memory is bounded by the longest document and the two tables.
+Rows that repeat, in id or text, are encoded each; a null id stays null. A long
+text is encoded alone: memory is bounded by the longest document and the tables
+of states, moves, pairs and pieces. An empty table gives no rows. Other columns
+of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,10 +37,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm import _spark
+from weftlink.llm import _spark, _text
 from weftlink.llm.tokenizer_spec import Spec, default_spec, ranks
 
-STATES = 180_000
+STATES, MOVES = 180_000, 400_000
 PAIRS = 150_000
 PIECES = 250_000
 
@@ -53,24 +56,35 @@ def merge_encode(piece: bytes, rank: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-#: What is pending after the last final token: that token (None at the start), the bytes since, and for each
-#: position in them that matters (position, where its last token starts, that token).
-State = tuple[bytes | None, bytes, tuple[tuple[int, int, bytes], ...]]
-START: State = (None, b"", ())
-_TOKEN, _PREFIX = 1, 2
+#: What is pending after the last final token: that token (-1 at the start), how many bytes, the node of the bytes
+#: since (-1 if no token begins so), and for each position in them that matters (position, where its last token
+#: starts, that token, the node of the bytes after it).
+State = tuple[int, int, int, tuple[tuple[int, int, int, int], ...]]
+START: State = (-1, 0, 0, ())
 
 
 class Transducer:
-    """Reads bytes of a piece, emits ids."""
+    """Reads bytes of a piece, emits ids. Nodes are those of the trie of all tokens, the root is 0."""
 
     def __init__(self, rank: dict[bytes, int]) -> None:
         self.rank = rank
-        self.kind = {t: _TOKEN for t in rank}
-        for t in rank:
-            for i in range(1, len(t)):
-                self.kind[t[:i]] = self.kind.get(t[:i], 0) | _PREFIX
+        self.bytes = {i: t for t, i in rank.items()}
+        self.child: dict[int, int] = {}  # node * 256 + byte -> node
+        self.token, self.inner = [-1], [True]  # of each node: its token, if any, and whether longer tokens begin so
+        for t, i in rank.items():
+            node = 0
+            for byte in t:
+                self.inner[node] = True
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+                node = to
+            self.token[node] = i
         self.code = {t: i.to_bytes(4, "little") for t, i in rank.items()}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.four = {i: self.code[t] for t, i in rank.items()}
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.spines: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self._forget()
@@ -78,8 +92,8 @@ class Transducer:
     def _forget(self) -> None:
         """No states but the first, number 0, and no transitions."""
         self.states, self.number = [START], {START: 0}
-        self.moves: dict[int, int] = {}  # number * 256 + byte -> number
-        self.outs: dict[int, bytes] = {}  # the same -> ids, where there are any
+        self.moves: dict[int, int] = {}  # number * 256 + byte -> number, or its complement if ids come out
+        self.outs: dict[int, bytes] = {}  # number * 256 + byte -> those ids
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge gives token; None for a byte, and for a token that its own bytes don't merge to."""
@@ -103,74 +117,106 @@ class Transducer:
             self.spines[key] = out
         return out
 
-    def _fits(self, last: bytes | None, token: bytes) -> bool:
+    def _fits(self, last: int, token: int) -> bool:
         """Whether token may follow last: no merge across their border comes before the merges that use up its two sides."""
-        if len(token) > 1 and self._halves(token) is None:
-            return False
-        if last is None:
-            return True
-        key = (last, token)
+        key = last << 32 | token
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            rank = self.rank
-            right = self._spine(token, 0)
-            found = True
-            for x, used in self._spine(last, 1):
-                for y, used_too in right:
-                    m = rank.get(x + y)
-                    if m is not None and m < used and m <= used_too:
-                        found = False
-                        break
-                if not found:
-                    break
-            self.pairs[key] = found
+            found = self.pairs[key] = self._may_follow(last, self.bytes[token])
         return found
 
+    def _may_follow(self, last: int, token: bytes) -> bool:
+        if len(token) > 1 and self._halves(token) is None:
+            return False
+        if last < 0:
+            return True
+        rank, right = self.rank, self._spine(token, 0)
+        for x, used in self._spine(self.bytes[last], 1):
+            for y, used_too in right:
+                m = rank.get(x + y)
+                if m is not None and m < used and m <= used_too:
+                    return False
+        return True
+
     def _step(self, state: State, byte: int) -> tuple[State, bytes]:
         """The next state and the ids that become final."""
-        base, held, known = state
-        held += bytes((byte,))
-        n = len(held)
-        kind = self.kind.get(held, 0)
-        new = (n, 0, held) if kind & _TOKEN and self._fits(base, held) else None
-        live = [0] if kind & _PREFIX else []
-        for p, _, last in known:  # in order: the longest last token is tried first
-            token = held[p:]
-            kind = self.kind.get(token, 0)
-            if kind & _PREFIX:
-                live.append(p)
-            if new is None and kind & _TOKEN and self._fits(last, token):
-                new = (n, p, token)
-        if new is not None:
-            live.append(n)
-            known = (*known, new)
-        if len(live) == 1:
-            cut, needed = live[0], []
+        base, n, first, known = state
+        child, token_of, inner, fits = self.child, self.token, self.inner, self._fits
+        n += 1
+        new, live, moved = -1, 0, []
+        if first >= 0:
+            first = child.get(first << 8 | byte, -1)
+            if first >= 0:
+                token = token_of[first]
+                if token >= 0 and fits(base, token):
+                    new, start = token, 0
+                if inner[first]:
+                    live, low = 1, 0
+                else:
+                    first = -1
+        for entry in known:  # in order: the longest last token is tried first
+            p, s, last, node = entry
+            if node < 0:
+                moved.append(entry)
+                continue
+            node = child.get(node << 8 | byte, -1)
+            if node >= 0:
+                if new < 0:
+                    token = token_of[node]
+                    if token >= 0 and fits(last, token):
+                        new, start = token, p
+                if inner[node]:
+                    if not live:
+                        low = p
+                    live += 1
+                else:
+                    node = -1
+            moved.append((p, s, last, node))
+        if new >= 0:
+            moved.append((n, start, new, 0))
+            if not live:
+                low = n
+            live += 1
+        # From the last position back: what live positions descend from, until all descend from one.
+        kept, cut = [], 0
+        if live == 1:
+            cut = low
+        elif first < 0:
+            wanted: set[int] = set()
+            for entry in reversed(moved):
+                p = entry[0]
+                if entry[3] >= 0 or p in wanted:
+                    wanted.discard(p)
+                    live -= entry[3] >= 0
+                    if not live and not wanted:
+                        cut = p
+                        break
+                    wanted.add(entry[1])
+                    kept.append(entry)
         else:
-            at, wanted, needed = {x[0]: x for x in known}, set(live), []
-            while len(wanted) > 1:
-                p = max(wanted)
-                wanted.remove(p)
-                wanted.add(at[p][1])
-                needed.append(at[p])
-            (cut,) = wanted
+            wanted = set()
+            for entry in reversed(moved):
+                if entry[3] >= 0 or entry[0] in wanted:
+                    wanted.add(entry[1])
+                    kept.append(entry)
         if not cut:
-            return (base, held, tuple(needed[::-1])), b""
-        out, end, p = [], None, cut
-        for place, start, token in reversed(known):
+            return (base, n, first, tuple(kept[::-1])), b""
+        out, end, node, p = [], -1, -1, cut
+        for place, s, token, at in reversed(moved):
             if place == p:
-                end = end or token
-                out.append(self.code[token])
-                p = start
-        moved = tuple([(p - cut, s - cut, token) for p, s, token in reversed(needed)])
-        return (end, held[cut:], moved), b"".join(out[::-1])
+                if end < 0:
+                    end, node = token, at
+                out.append(token)
+                p = s
+        rest = tuple([(p - cut, s - cut, token, at) for p, s, token, at in reversed(kept)])
+        return (end, n - cut, node, rest), b"".join([self.four[x] for x in reversed(out)])
 
     def _move(self, number: int, byte: int) -> tuple[int, bytes]:
         """A new transition, kept."""
         state, out = self._step(self.states[number], byte)
-        if len(self.states) > STATES:
+        if len(self.states) > STATES or len(self.moves) > MOVES:
             self._forget()
             number = -1  # where the transition began is forgotten too
         to = self.number.get(state)
@@ -178,18 +224,27 @@ class Transducer:
             to = self.number[state] = len(self.states)
             self.states.append(state)
         if number >= 0:
-            self.moves[number << 8 | byte] = to
+            self.moves[number << 8 | byte] = ~to if out else to
             if out:
                 self.outs[number << 8 | byte] = out
         return to, out
 
-    def _finish(self, state: State) -> bytes:
-        """The ids still pending when the piece ends."""
-        _, held, known = state
-        out, p = [], len(held)
-        for place, start, token in reversed(known):
+    def _end(self, state: State, byte: int) -> bytes:
+        """The ids still pending when the piece ends with byte."""
+        base, _, first, known = state
+        child, token_of, fits = self.child, self.token, self._fits
+        node = child.get(first << 8 | byte, -1) if first >= 0 else -1
+        if node >= 0 and token_of[node] >= 0 and fits(base, token_of[node]):
+            return self.four[token_of[node]]
+        for p, _, last, node in known:
+            if node >= 0:
+                node = child.get(node << 8 | byte, -1)
+                if node >= 0 and token_of[node] >= 0 and fits(last, token_of[node]):
+                    break
+        out = [self.four[token_of[node]]]
+        for place, start, token, _ in reversed(known):
             if place == p:
-                out.append(self.code[token])
+                out.append(self.four[token])
                 p = start
         return b"".join(out[::-1])
 
@@ -201,18 +256,17 @@ class Transducer:
         at, out, moves = 0, [], self.moves
         for byte in piece[:-1]:
             key = at << 8 | byte
-            to = moves.get(key)
-            if to is None:
-                at, ids = self._move(at, byte)
+            at = moves.get(key)
+            if at is None:
+                at, ids = self._move(key >> 8, byte)
                 moves = self.moves
                 out.append(ids)
-            else:
-                at = to
-                if key in self.outs:
-                    out.append(self.outs[key])
-        # the state after the last byte is needed once, for whole pieces are kept elsewhere
-        state, ids = self._step(self.states[at], piece[-1])
-        return b"".join((*out, ids, self._finish(state)))
+            elif at < 0:
+                at = ~at
+                out.append(self.outs[key])
+        # the state after the last byte isn't kept, for whole pieces are kept elsewhere
+        out.append(self._end(self.states[at], piece[-1]))
+        return b"".join(out)
 
 
 class _Pieces(dict):
@@ -236,9 +290,10 @@ class _Pieces(dict):
 class Utf8Stream:
     """Text from bytes that arrive in any portions.
 
-    state: how many bytes of a character are due, with the range of the next one
-    (Unicode's table of well-formed byte sequences). Ill-formed parts become
-    U+FFFD, one for each maximal subpart.
+    What is between portions is the state of the automaton of Unicode's table of
+    well-formed byte sequences: the bytes held of an unfinished character, how
+    many are due, and the range of the next one. Ill-formed parts become U+FFFD,
+    one for each maximal subpart.
     """
 
     def __init__(self) -> None:
@@ -257,31 +312,34 @@ class Utf8Stream:
             return 3, 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
         return None
 
+    def _enter(self, data: bytes) -> bool:
+        """Whether data begins a character and leaves it unfinished; the state is then what it leaves."""
+        got = self.first(data[0])
+        if got is None:
+            return False
+        due, low, high = got
+        for byte in data[1:]:
+            if not due or not low <= byte <= high:
+                return False
+            due, low, high = due - 1, 0x80, 0xBF
+        self.due, self.low, self.high, self.held = due, low, high, data
+        return due > 0
+
     def feed(self, data: bytes) -> str:
-        out = []
-        for byte in data:
-            if self.due:
-                if self.low <= byte <= self.high:
-                    self.held += bytes((byte,))
-                    self.due, self.low, self.high = self.due - 1, 0x80, 0xBF
-                    if not self.due:
-                        out.append(self.held.decode())
-                        self.held = b""
-                    continue
-                out.append("�")
-                self.due, self.held = 0, b""
-            got = self.first(byte)
-            if got is None:
-                out.append("�")
-            elif got[0]:
-                (self.due, self.low, self.high), self.held = got, bytes((byte,))
-            else:
-                out.append(chr(byte))
-        return "".join(out)
+        data = self.held + data
+        self.due, self.held = 0, b""
+        # only one of the last three bytes can begin what is left unfinished
+        for at in range(len(data) - 1, max(len(data) - 4, -1), -1):
+            if data[at] >= 0xC0:
+                if self._enter(data[at:]):
+                    return data[:at].decode("utf-8", "replace")
+                break
+        self.due, self.held = 0, b""
+        return data.decode("utf-8", "replace")
 
     def end(self) -> str:
         """What an unfinished character at the end becomes."""
-        left, self.due, self.held = "�" * bool(self.due), 0, b""
+        left, self.due, self.held = "\ufffd" * bool(self.due), 0, b""
         return left
 
 
@@ -313,19 +371,18 @@ class Codec:
         start = self.at[x] - (np.cumsum(size) - size)
         return self.bytes[np.repeat(start, size) + np.arange(size.sum())].tobytes()
 
-    @functools.lru_cache(maxsize=1 << 17)  # noqa: B019
-    def _whole(self, i: int) -> str | None:
-        """A token's text if it is complete characters, else None."""
+    def decode_portions(self, ids: bytes, portion: int = 1 << 14) -> Iterator[bytes]:
+        """UTF-8 text as far as it is complete after each portion of ids, by the incremental machine."""
         stream = Utf8Stream()
-        text = stream.feed(self.tokens[i])
-        return None if stream.due or "�" in text else text
+        for a in range(0, len(ids), 4 * portion):
+            yield stream.feed(self.decode_bytes(ids[a : a + 4 * portion])).encode()
+        yield stream.end().encode()
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as far as it is complete after each id."""
         stream = Utf8Stream()
         for i in ids:
-            text = None if stream.due else self._whole(i)
-            yield stream.feed(self.tokens[i]) if text is None else text
+            yield stream.feed(self.tokens[i])
         yield stream.end()
 
 
@@ -339,8 +396,9 @@ def codec(spec: Spec) -> Codec:
 def _encoded(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
     own = codec(spec)
     for batch in batches:
-        for a in range(0, len(batch), 256):
-            part = batch.slice(a, 256)
+        _, offsets = _text.utf8(batch.column(1))
+        for a, b in _text.chunks(offsets):
+            part = batch.slice(a, b - a)
             ids = [own.encode(x.as_py() or "") for x in part.column(1)]
             yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
@@ -358,7 +416,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Recor
     for batch in batches:
         for a in range(0, len(batch), 256):
             part = batch.slice(a, 256)
-            text = ["".join(own.decode_stream(np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in part.column(1)]
+            text = [b"".join(own.decode_portions(x.as_py() or b"")).decode() for x in part.column(1)]
             yield pa.record_batch([part.column(0), pa.array(text, pa.string())], ["key", "text"])
 
 
@@ -372,14 +430,24 @@ def decode(encoded: DataFrame, spec: Spec | None = None, id_col: str = "doc_id")
 
 def _digests(batches: Iterator[pa.RecordBatch], spec: Spec, with_ids: bool) -> Iterator[pa.RecordBatch]:
     own = codec(spec)
+    rows, size = [], 0
     for batch in batches:
-        for a in range(0, len(batch), 512):
-            part, rows = batch.slice(a, 512), []
-            for x in part.column(1):
-                ids = own.encode(x.as_py() or "")
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest(), ids if with_ids else b""))
-            columns = [pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.binary()))]
-            yield pa.record_batch([part.column(0), *columns], ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, decoded = own.encode(text.as_py() or ""), hashlib.sha256()
+            for x in own.decode_portions(ids):
+                decoded.update(x)
+            rows.append((key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest(), ids if with_ids else b""))
+            size += 200 + len(rows[-1][-1])
+            if size > _text.CHUNK:
+                yield _as_batch(rows)
+                rows, size = [], 0
+    if rows:
+        yield _as_batch(rows)
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (("key", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary()))
+    return pa.record_batch([pa.array([x[i] for x in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
 
 def round_trip(docs: DataFrame, spec: Spec | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
