@@ -280,16 +280,39 @@ def test_components(spark):
 # lines
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("few", [line_dedup.FEW, 0])
+def test_lines(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
     texts = ["menu\nown one\n\n menu ", "menu\ntext", "menu", "menu\r\nx", "menu\nlast", None, "", "other", "menu", "menu"]
     sites = ["a"] * 7 + [None, None, "b"]
-    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(frame(spark, texts, sites).withColumns({"line": F.lit(1), "site": F.lit("q"), "gone": F.lit(0)}), ratio=0.5, least=3).collect()}
+    docs = frame(spark, texts, sites).withColumns({"line": F.lit(1), "site": F.lit("q"), "gone": F.lit(0), "row": F.lit(0), "own_id": F.lit(2)})
+    out = line_dedup.drop_boilerplate(docs, ratio=0.5, least=3)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
     assert got == {0: "own one\n", 1: "text", 2: "", 3: "x", 4: "last", 5: None, 6: "", 7: "other", 8: "menu", 9: "menu"}
     assert line_dedup.drop_boilerplate(frame(spark, [])).count() == 0
     urls = spark.createDataFrame([("https://u@A.example:80/x?y",), ("nothing",)], "u string")
     assert [r.h for r in urls.select(line_dedup.host(F.col("u")).alias("h")).collect()] == ["a.example", ""]
 
 
+@pytest.mark.parametrize("few", [line_dedup.FEW, 0])
+def test_lines_of_odd_rows_agree_with_the_sql(spark, monkeypatch, few):
+    """Null and repeated ids, null texts and sites, equal rows, a line that fills a hot site."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    rng = random.Random(24)
+    texts = ["\n".join(rng.choice(["menu", "foot ", " ", "terms", f"own {rng.randrange(400)}"]) for _ in range(rng.randrange(1, 7))) for _ in range(240)] + [None, None, "", "menu"] * 2
+    sites = [rng.choice(["hot", "hot", "b", None]) for _ in texts]
+    ids = [rng.choice([None, i, i // 3]) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, sites, strict=True)), "doc_id long, text string, source string")
+    docs.createOrReplaceTempView("odd_docs")
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: spark.table("odd_docs"))
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = sorted((tuple(r) for r in queries.op4_line_dedup(spark, "").collect()), key=key)
+    want = sorted(sql_of("op4_line_dedup", documents=docs.toPandas().astype({"doc_id": "Int64"})), key=key)
+    assert got == want
+    assert any(r[2] is not None and r[2] < r[1] for r in got)
+
+
 # token counts
 
 

@@ -114,24 +114,49 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = line_dedup.drop_boilerplate(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
-    left = F.size(F.split("text", "\n", -1)).cast("long")
-    return out.select("doc_id", "n_lines", left.alias("n_lines_left"), F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+    count = lambda: F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1)).cast("long"))
+    out = line_dedup.drop_boilerplate(docs.withColumn("n_lines", count()))
+    return out.select("doc_id", "n_lines", count().alias("n_lines_left"), F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
-ORACLE_SQL["op4_line_dedup"] = f"""
-WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+def _lines_sql(docs: str, site: str) -> str:
+    """What is left of the rows (doc_id, site, text, row_at) of docs; row_at tells rows apart."""
+    return f"""
+src AS ({docs}),
+lines AS (
+  SELECT row_at, {site} AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM src WHERE text IS NOT NULL),
 bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS b FROM lines),
-counts AS (SELECT source, b, count(DISTINCT doc_id) AS pages FROM bare WHERE b <> '' GROUP BY ALL),
-totals AS (SELECT source, count(*) AS site_pages FROM documents GROUP BY ALL),
-gone AS (SELECT source, b FROM counts JOIN totals USING (source) WHERE pages >= {line_dedup.LEAST} AND pages > {line_dedup.RATIO} * site_pages),
+counts AS (SELECT site, b, count(DISTINCT row_at) AS pages FROM bare WHERE b <> '' GROUP BY ALL),
+totals AS (SELECT {site} AS site, count(*) AS site_pages FROM src GROUP BY ALL),
+gone AS (SELECT c.site, b FROM counts c JOIN totals t ON c.site IS NOT DISTINCT FROM t.site WHERE pages >= {line_dedup.LEAST} AND pages > {line_dedup.RATIO} * site_pages),
 kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM bare
-  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = bare.source AND g.b = bare.b) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n, 1) AS BIGINT) AS n_lines_left,
-       CAST(length(coalesce(k.text, '')) AS BIGINT) AS n_chars_left, md5(coalesce(k.text, '')) AS text_md5
-FROM documents d LEFT JOIN kept k USING (doc_id)
+  SELECT row_at, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM bare
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.site IS NOT DISTINCT FROM bare.site AND g.b = bare.b) GROUP BY row_at),
+left_ AS (SELECT r.*, coalesce(n, 1) AS n_left, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS kept FROM src r LEFT JOIN kept k USING (row_at))"""
+
+
+_LINES_LEFT = """CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CASE WHEN text IS NOT NULL THEN CAST(n_left AS BIGINT) END AS n_lines_left,
+       CAST(length(kept) AS BIGINT) AS n_chars_left, md5(kept) AS text_md5"""
+
+ORACLE_SQL["op4_line_dedup"] = f"""
+WITH {_lines_sql("SELECT doc_id, source, text, row_number() OVER () AS row_at FROM documents", "source")}
+SELECT doc_id, {_LINES_LEFT} FROM left_
+"""
+
+
+@query
+def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host(F.col("url")).alias("host"), line_dedup.page_lines(F.col("html")).alias("text"))
+    count = lambda: F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1)).cast("long"))
+    out = line_dedup.drop_boilerplate(pages.withColumn("n_lines", count()), id_col="page_id", site_col="host")
+    return out.select("page_id", "host", "n_lines", count().alias("n_lines_left"), F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
+_PAGE_TEXT = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', chr(10), 'g'), '[ \t\r\n]*\n[ \t\r\n]*', chr(10), 'g')"""
+
+ORACLE_SQL["line_dedup_pages"] = f"""
+WITH {_lines_sql("SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, " + _PAGE_TEXT + " AS text, row_number() OVER () AS row_at FROM pages", "host")}
+SELECT page_id, host, {_LINES_LEFT} FROM left_
 """
 
 
