@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from weftlink.llm import _spark, _text, components
@@ -54,7 +54,7 @@ CAP, HEAP = 2048, 16 << 20
 #: Estimates below this are no candidates: the samples' standard error at 0.8 is about 0.07.
 ESTIMATE = 0.5
 #: Shingles of a block, and those that a bucket counts.
-BLOCK, BUCKET = 1_000_000, 1_000_000
+BLOCK, BUCKET = 600_000, 800_000
 #: Buckets dealt out to at once; more are reached in several rounds.
 FANOUT = 1024
 
@@ -470,13 +470,13 @@ def _across(hot: DataFrame) -> DataFrame:
     return one.union(two).union(three)
 
 
-def _by_block(*kinds: tuple[int, DataFrame]) -> DataFrame:
-    """Tables (block, payload) or (block, rids) as one (block, kind, payload, rids)."""
+def _by_block(n: int, *kinds: tuple[int, DataFrame]) -> GroupedData:
+    """Tables (block, payload) or (block, rids) as one (block, kind, payload, rids), by block, in as many partitions as there are blocks."""
     rows = [df.select("block", F.lit(kind).alias("kind"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("payload", "binary"), ("rids", "array<long>")))) for kind, df in kinds]
     out = rows[0]
     for df in rows[1:]:
         out = out.union(df)
-    return out.groupBy("block")
+    return out.repartition(min(max(n, 1), 20_000), "block").groupBy("block")
 
 
 def _members(reps: DataFrame) -> DataFrame:
@@ -496,11 +496,11 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     text = F.col(text_col).cast("string")
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
     blocks = _spark.written(source.mapInArrow(_blocks, "block long, payload binary, docs long, shingles long"), "blocks")
-    n = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("shingles")).first()
+    n = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("shingles"), F.count("*").alias("blocks")).first()
     total = n.docs
     counts = _spark.written(document_counts(blocks, n.shingles), "counts")
     _spark.free_shuffles(spark)
-    sketched = _by_block((_WHOLE, blocks), (_COUNTS, counts)).applyInArrow(lambda t: _sketch(t, total), "rid long, block long, key long, tag long, d1 long, d2 long, size long, sig binary")
+    sketched = _by_block(n.blocks, (_WHOLE, blocks), (_COUNTS, counts)).applyInArrow(lambda t: _sketch(t, total), "rid long, block long, key long, tag long, d1 long, d2 long, size long, sig binary")
     sketches = _spark.written(sketched, "sketches")
     _spark.free_shuffles(spark)
     best = F.struct((F.col("key") == _spark.NULL_ID).alias("no_id"), "key", "tag")
@@ -509,7 +509,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     members = _spark.written(_members(reps.select("rid", "sig")), "members")
     own = reps.join(members.select("rid").distinct(), "rid", "left_semi")
     wanted = own.groupBy("block").agg(F.collect_list("rid").alias("rids"))
-    sets = _by_block((_WHOLE, blocks), (_COUNTS, counts), (_WANTED, wanted)).applyInArrow(lambda t: _sets(t, total), "rid long, set binary")
+    sets = _by_block(n.blocks, (_WHOLE, blocks), (_COUNTS, counts), (_WANTED, wanted)).applyInArrow(lambda t: _sets(t, total), "rid long, set binary")
     sets = _spark.written(sets.join(reps.select("rid", "sig"), "rid"), "sets")
     _spark.drop(blocks, counts)
     _spark.free_shuffles(spark)
