@@ -84,6 +84,10 @@ class Transducer:
             self.token[node] = i
         self.code = {t: i.to_bytes(4, "little") for t, i in rank.items()}
         self.four = {i: self.code[t] for t, i in rank.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all that was learnt from texts."""
         self.pairs: dict[int, bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.spines: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
@@ -357,6 +361,13 @@ class Codec:
         self.at = np.cumsum(sizes)
         self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(top)), np.uint8)
 
+    def forget(self) -> None:
+        """Drops what was learnt from texts, so that an idle Python worker holds the vocabulary alone."""
+        self.pieces.transducer.forget()
+        self.pieces.clear()
+        self.pieces.old = {}
+        gc.collect()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         pieces = self.pieces
@@ -388,19 +399,22 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def codec(spec: Spec) -> Codec:
-    """The codec of this Python worker. Its tables are many small objects without cycles, so the collector looks at them less often."""
+    """The codec of this Python worker; tasks share the vocabulary. Its tables are many small objects without cycles, so the collector looks at them less often."""
     gc.set_threshold(50_000, 50, 50)
     return Codec(spec)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
     own = codec(spec)
-    for batch in batches:
-        _, offsets = _text.utf8(batch.column(1))
-        for a, b in _text.chunks(offsets):
-            part = batch.slice(a, b - a)
-            ids = [own.encode(x.as_py() or "") for x in part.column(1)]
-            yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+    try:
+        for batch in batches:
+            _, offsets = _text.utf8(batch.column(1))
+            for a, b in _text.chunks(offsets):
+                part = batch.slice(a, b - a)
+                ids = [own.encode(x.as_py() or "") for x in part.column(1)]
+                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+    finally:
+        own.forget()
 
 
 def encode(docs: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,18 +445,21 @@ def decode(encoded: DataFrame, spec: Spec | None = None, id_col: str = "doc_id")
 def _digests(batches: Iterator[pa.RecordBatch], spec: Spec, with_ids: bool) -> Iterator[pa.RecordBatch]:
     own = codec(spec)
     rows, size = [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids, decoded = own.encode(text.as_py() or ""), hashlib.sha256()
-            for x in own.decode_portions(ids):
-                decoded.update(x)
-            rows.append((key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest(), ids if with_ids else b""))
-            size += 200 + len(rows[-1][-1])
-            if size > _text.CHUNK:
-                yield _as_batch(rows)
-                rows, size = [], 0
-    if rows:
-        yield _as_batch(rows)
+    try:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids, decoded = own.encode(text.as_py() or ""), hashlib.sha256()
+                for x in own.decode_portions(ids):
+                    decoded.update(x)
+                rows.append((key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest(), ids if with_ids else b""))
+                size += 200 + len(rows[-1][-1])
+                if size > _text.CHUNK:
+                    yield _as_batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _as_batch(rows)
+    finally:
+        own.forget()
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
