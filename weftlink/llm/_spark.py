@@ -31,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and Python, unless the session sets another number.
+BATCH = 8 << 20
+
+
+def with_small_batches(spark: SparkSession) -> SparkSession:
+    """The session, in which a batch holds few long texts: each is there several times on its way."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+    return spark
+
+
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 

@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm import _spark, _text
+from weftlink.llm import _spark, _text, _worker
 from weftlink.llm.tokenizer_spec import Spec, default_spec, ranks
 
 STATES, MOVES = 180_000, 400_000
@@ -367,6 +367,7 @@ class Codec:
         self.pieces.clear()
         self.pieces.old = {}
         gc.collect()
+        _worker.give_back()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -420,6 +421,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Recor
 def encode(docs: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id and ids: its tokens as little-endian unsigned 32-bit integers."""
     spec = spec or default_spec()
+    _spark.with_small_batches(docs.sparkSession)
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     out = source.mapInArrow(lambda it: _encoded(it, spec), "key long, ids binary")
     return out.select(_spark.id_back("key").alias(id_col), "ids")
@@ -470,6 +472,7 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 def round_trip(docs: DataFrame, spec: Spec | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id, n_tokens, ids_sha256, decoded_sha256 and ids, encoded and decoded in one pass so that ids needn't be moved."""
     spec = spec or default_spec()
+    _spark.with_small_batches(docs.sparkSession)
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     out = source.mapInArrow(lambda it: _digests(it, spec, with_ids), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
     return out.select(_spark.id_back("key").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from weftlink.llm import _spark, _text, components
+from weftlink.llm import _spark, _text, _worker, components
 from weftlink.llm._packed import pack, unpack
 
 SHINGLE = 5
@@ -92,6 +92,7 @@ def _digests(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+@_worker.task
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, payload, docs, shingles) from (key, tag, text). Documents are numbered by task and row; a block's number is its first document's."""
     context = TaskContext.get()
@@ -140,6 +141,7 @@ def _dealt(ids: np.ndarray, of: np.ndarray, docs: np.ndarray, blocks: np.ndarray
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([pack(np.diff(ids[a:b], prepend=_U(0)), of[a:b].astype(np.uint32), docs[a:b].astype(np.uint32), blocks)], pa.binary())], ["part", "payload"])
 
 
+@_worker.task
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -164,6 +166,7 @@ def _gathered(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return i[order], o[order], d[order], b
 
 
+@_worker.task
 def _finer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The same, dealt out by more of the bits."""
     held: list[bytes] = []
@@ -179,6 +182,7 @@ def _finer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield from _dealt(*_gathered(held), buckets)
 
 
+@_worker.group
 def _count(table: pa.Table) -> pa.Table:
     """Of one bucket: for each block, its ids that several documents have, with their exact number."""
     ids, of, docs, blocks = _gathered([x.as_py() for x in table.column("payload")])
@@ -275,6 +279,7 @@ def _opened(table: pa.Table) -> tuple[int, list[np.ndarray], list[bytes], np.nda
     return table.column("block")[0].as_py(), whole, [payload[int(i)].as_py() for i in np.flatnonzero(kind == _COUNTS)], np.concatenate([np.zeros(0, np.int64), *wanted])
 
 
+@_worker.group
 def _sketch(table: pa.Table, docs: int) -> pa.Table:
     """(rid, block, key, tag, d1, d2, size, sig) of the documents of one block; sig is null where there are no words."""
     if not _sampler:
@@ -294,6 +299,7 @@ def _sketch(table: pa.Table, docs: int) -> pa.Table:
     return pa.table({"rid": rid, "block": np.full(len(rid), block), "key": key, "tag": tag, "d1": d1, "d2": d2, "size": sizes.astype(np.int64), "sig": pa.array(sig, pa.binary())})
 
 
+@_worker.group
 def _sets(table: pa.Table, docs: int) -> pa.Table:
     """(rid, set) of the wanted documents of one block: packed ids, counts and document counts."""
     block, (_, _, _, _, sizes, gaps, count), counts, wanted = _opened(table)
@@ -365,6 +371,7 @@ def _linked(m: _Members) -> list[tuple[int, int]]:
     return links
 
 
+@_worker.task
 def _compare(batches: Iterator[pa.RecordBatch], docs: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) between classes from rows (bk, x, y, com, sig, set) that lie together by (bk, x, y)."""
     held: list[tuple] = []  # rows of whole blocks of two
@@ -492,7 +499,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
     tag is a hash of the text; key is the id, _spark.NULL_ID for null, and no_id whether it is null.
     """
-    spark = docs.sparkSession
+    spark = _spark.with_small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
     blocks = _spark.written(source.mapInArrow(_blocks, "block long, payload binary, docs long, shingles long"), "blocks")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm import _spark, _text, labelled
+from weftlink.llm import _spark, _text, _worker, labelled
 
 #: Labelled documents used for fitting, at most.
 SAMPLE = 12_000
@@ -167,6 +167,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     return Forest(base, np.stack(features), np.stack(thresholds), np.stack(leaves))
 
 
+@_worker.task
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = statistics(batch.column(0))
@@ -193,11 +194,13 @@ def _predict(column: pa.Array, forest: Forest) -> np.ndarray:
     return np.concatenate([forest.predict(x[i : i + 1024]) for i in range(0, len(x), 1024)] or [np.zeros(0)])
 
 
+@_worker.task
 def _scored(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array(_predict(batch.column(1), forest))], ["key", "score"])
 
 
+@_worker.task
 def _kept(batches: Iterator[pa.RecordBatch], forest: Forest, threshold: float, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(0).field(at).cast(pa.string())
@@ -206,7 +209,7 @@ def _kept(batches: Iterator[pa.RecordBatch], forest: Forest, threshold: float, a
 
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id with score, the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = _spark.with_small_batches(docs.sparkSession).sparkContext.broadcast(forest)
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     out = source.mapInArrow(lambda it: _scored(it, shared.value), "key long, score double")
     return out.select(_spark.id_back("key").alias(id_col), "score")
@@ -214,7 +217,7 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of docs with a score of at least threshold, with all their columns and without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = _spark.with_small_batches(docs.sparkSession).sparkContext.broadcast(forest)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     at = docs.columns.index(text_col)
     return rows.mapInArrow(lambda it: _kept(it, shared.value, threshold, at), rows.schema).select("row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm import _spark, _text
+from weftlink.llm import _spark, _text, _worker
 from weftlink.llm._packed import pack as _pack
 from weftlink.llm._packed import unpack as _unpack
 
@@ -98,6 +98,7 @@ def _rows(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([payload], pa.binary())], ["part", "payload"])
 
 
+@_worker.task
 def _blocks(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n = 0
@@ -118,6 +119,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iter
         yield from _rows(_deal(*map(np.concatenate, zip(*held, strict=True)), buckets))
 
 
+@_worker.task
 def _finer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Blocks that hold a part of the hashes, dealt out by more of the bits."""
     held, n = [], 0
@@ -140,6 +142,7 @@ def _doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return _bucket(_text.mix(docs.astype(np.int64).view(_U).copy()), buckets)
 
 
+@_worker.group
 def _count(table: pa.Table, buckets: int) -> pa.Table:
     """Of one bucket of hashes: the places of repeats, by bucket of document."""
     docs, starts, windows = [], [], []
@@ -165,6 +168,7 @@ def _count(table: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"part": pa.array([x for x, _ in out], pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
 
+@_worker.group
 def _merge(table: pa.Table, width: int) -> pa.Table:
     """Maximal intervals of words that repeated windows cover, a row for each document."""
     found = [_unpack(x.as_py()) for x in table.column("payload")]
@@ -184,6 +188,7 @@ def _merge(table: pa.Table, width: int) -> pa.Table:
 
 def removal_intervals(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, begins, ends) of each document with repeats: words begins[i] to ends[i]-1, disjoint and in order, are to go. key: the id, _spark.NULL_ID for null."""
+    _spark.with_small_batches(docs.sparkSession)
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     size = source.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (6 * BUCKET)))
@@ -200,6 +205,7 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
     return spots.groupBy("part").applyInArrow(lambda t: _merge(t, width), "key long, begins array<int>, ends array<int>")
 
 
+@_worker.task
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, offsets = _text.utf8(batch.column(1))

@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm import _spark
+from weftlink.llm import _spark, _worker
 from weftlink.llm.tokenizer_spec import Spec, default_spec, library_encoding
 
 RUN = 64
 
 
+@_worker.task
 def _lengths(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
     encode = library_encoding(spec).encode_ordinary
     for batch in batches:
@@ -32,6 +33,7 @@ def _lengths(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Recor
 def token_lengths(docs: DataFrame, spec: Spec | None = None, text_col: str = "text") -> DataFrame:
     """(length) of each row's text in tokens."""
     spec = spec or default_spec()
+    _spark.with_small_batches(docs.sparkSession)
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _lengths(it, spec), "length long")
 
 

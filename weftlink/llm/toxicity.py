@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm import _spark, _text, labelled
+from weftlink.llm import _spark, _text, _worker, labelled
 
 #: Labelled documents used for fitting, at most.
 SAMPLE = 20_000
@@ -70,6 +70,7 @@ def _distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[new], feature[new]
 
 
+@_worker.task
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic, docs) sums of each chunk."""
     for batch in batches:
@@ -114,6 +115,7 @@ def _presence(column: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, np.n
         yield one // max(1, len(model.features)), one % max(1, len(model.features)), words
 
 
+@_worker.task
 def _rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
@@ -179,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     return fit(places, np.where(toxic, 1 + np.searchsorted(cuts, found, "left"), 0), features)
 
 
+@_worker.task
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -191,7 +194,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id with p_toxic, P(grade >= 1); severity, the expected grade; and grade, the highest with P(grade >= k) at least a half."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _spark.with_small_batches(docs.sparkSession).sparkContext.broadcast(model)
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     out = source.mapInArrow(lambda it: _scored(it, shared.value), "key long, p_toxic double, severity double, grade int")
     return out.select(_spark.id_back("key").alias(id_col), "p_toxic", "severity", "grade")
