@@ -208,7 +208,7 @@ def document_counts(blocks: DataFrame, shingles: int) -> DataFrame:
         dealt = dealt.repartition(min(b // FANOUT, 20_000), "part").mapInArrow(lambda it, b=b: _finer(it, b), kind)
     # as many partitions as buckets, so that a task's share doesn't depend on the session
     dealt = dealt.repartition(min(rounds[-1], 20_000), "part")
-    return dealt.groupBy("part").applyInArrow(_count, "block long, payload binary")
+    return dealt.groupBy("part").applyInArrow(lambda t: _count(t), "block long, payload binary")
 
 
 def _weights(ids: np.ndarray, count: np.ndarray, payloads: list[bytes], docs: int) -> tuple[np.ndarray, np.ndarray]:
