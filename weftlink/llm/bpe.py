@@ -66,8 +66,9 @@ START: State = (-1, 0, 0, ())
 class Transducer:
     """Reads bytes of a piece, emits ids. Nodes are those of the trie of all tokens, the root is 0."""
 
-    def __init__(self, rank: dict[bytes, int]) -> None:
-        self.rank = rank
+    def __init__(self, rank: dict[bytes, int], tables: float = 1.0) -> None:
+        """tables: the share of STATES, MOVES and PAIRS that are kept."""
+        self.rank, self.tables = rank, tables
         self.bytes = {i: t for t, i in rank.items()}
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
         self.token, self.inner = [-1], [True]  # of each node: its token, if any, and whether longer tokens begin so
@@ -126,7 +127,7 @@ class Transducer:
         key = last << 32 | token
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > PAIRS:
+            if len(self.pairs) > PAIRS * self.tables:
                 self.pairs.clear()
             found = self.pairs[key] = self._may_follow(last, self.bytes[token])
         return found
@@ -220,7 +221,7 @@ class Transducer:
     def _move(self, number: int, byte: int) -> tuple[int, bytes]:
         """A new transition, kept."""
         state, out = self._step(self.states[number], byte)
-        if len(self.states) > STATES or len(self.moves) > MOVES:
+        if len(self.states) > STATES * self.tables or len(self.moves) > MOVES * self.tables:
             self._forget()
             number = -1  # where the transition began is forgotten too
         to = self.number.get(state)
@@ -284,7 +285,7 @@ class _Pieces(dict):
         if out is None:
             out = self.transducer.encode(piece.encode())
         if len(piece) < 64:
-            if len(self) > PIECES:
+            if len(self) > PIECES * self.transducer.tables:
                 self.old = dict(self)
                 self.clear()
             self[piece] = out
@@ -350,9 +351,9 @@ class Utf8Stream:
 class Codec:
     """Encoding and decoding for one vocabulary, with tables that persist in a Python worker."""
 
-    def __init__(self, spec: Spec) -> None:
+    def __init__(self, spec: Spec, tables: float = 1.0) -> None:
         rank = ranks(spec.path)
-        self.pieces, self.split = _Pieces(Transducer(rank)), regex.compile(spec.pattern).findall
+        self.pieces, self.split = _Pieces(Transducer(rank, tables)), regex.compile(spec.pattern).findall
         self.tokens = {i: t for t, i in rank.items()}
         top = max(self.tokens) + 1
         sizes = np.zeros(top + 1, np.int64)
@@ -399,10 +400,10 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(spec: Spec) -> Codec:
+def codec(spec: Spec, tables: float = 1.0) -> Codec:
     """The codec of this Python worker; tasks share the vocabulary. Its tables are many small objects without cycles, so the collector looks at them less often."""
     gc.set_threshold(50_000, 50, 50)
-    return Codec(spec)
+    return Codec(spec, tables)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -444,8 +445,8 @@ def decode(encoded: DataFrame, spec: Spec | None = None, id_col: str = "doc_id")
     return out.select(_spark.id_back("key").alias(id_col), "text")
 
 
-def _digests(batches: Iterator[pa.RecordBatch], spec: Spec, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    own = codec(spec)
+def _digests(batches: Iterator[pa.RecordBatch], spec: Spec, with_ids: bool, tables: float) -> Iterator[pa.RecordBatch]:
+    own = codec(spec, tables)
     rows, size = [], 0
     try:
         for batch in batches:
@@ -469,10 +470,13 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[i] for x in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
 
-def round_trip(docs: DataFrame, spec: Spec | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, n_tokens, ids_sha256, decoded_sha256 and ids, encoded and decoded in one pass so that ids needn't be moved."""
+def round_trip(docs: DataFrame, spec: Spec | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", tables: float = 1.0) -> DataFrame:
+    """Each row's id, n_tokens, ids_sha256, decoded_sha256 and ids, encoded and decoded in one pass so that ids needn't be moved.
+
+    tables: the share of the usual table sizes that a worker keeps, about 230 MB at 1; with less of them more is worked out again.
+    """
     spec = spec or default_spec()
     _spark.with_small_batches(docs.sparkSession)
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = source.mapInArrow(lambda it: _digests(it, spec, with_ids), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    out = source.mapInArrow(lambda it: _digests(it, spec, with_ids, tables), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
     return out.select(_spark.id_back("key").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
