@@ -3,6 +3,14 @@
 Each stage reads all that the one before kept and returns the columns of its
 input, but for the last, which returns token ids. Between stages the rows are a
 Parquet table in the shared folder, so a lost executor repeats no earlier stage.
+
+Edge cases. A null or empty text has the quality score of an empty one, no lines
+to lose, no near duplicates and no tokens; it goes or stays by its score. Rows
+without an id stay as others do and come back without one. Repeated rows are
+copies of each other, of which near duplicates leave one; a document that the mix
+takes twice is there twice. Long texts are read whole in each stage. An empty
+table gives empty tables. Further columns, whatever their names, are kept up to
+the last stage. Ties are settled as each operator says.
 """
 
 from __future__ import annotations
@@ -40,8 +48,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the ids as little-endian 32-bit integers, and digests of ids and of the decoded bytes."""
-    return bpe.round_trip(docs)
+    """doc_id, n_tokens, the ids as little-endian 32-bit integers, and digests of ids and of the decoded bytes.
+
+    Workers keep half of the usual tables: they share an executor with a heap that earlier stages have filled.
+    """
+    return bpe.round_trip(docs, tables=0.5)
 
 
 STAGES: list[tuple[str, Stage]] = [
