@@ -572,15 +572,23 @@ def test_topk(spark):
 def test_topk_of_large_integers():
     a = np.array([[2.0**40, 3.0]])
     assert topk._dots(a, np.array([[2.0**20, 1.0]]))[0, 0] == 2**60 + 3
-    with pytest.raises(OverflowError):
-        topk._dots(a, a)
+
+
+def test_topk_of_huge_vectors(spark):
+    x = [[1e10, -3.0], [1e10, 2.0], [5e17, 1e300], [0.5, 0.25], [-1e10, 1e10], [1e-9, 0.0], [float(2**21), 7.0]]
+    df = spark.createDataFrame([(100 * i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    z = [[math.floor(1024 * v) for v in row] for row in x]
+    want = []
+    for i, a in enumerate(z):
+        found = sorted((-max(-(2**63), min(2**63 - 1, sum(p * q for p, q in zip(a, b, strict=True)))), 100 * j) for j, b in enumerate(z) if i != j)[:3]
+        want += [(100 * i, n, j, -s) for n, (s, j) in enumerate(found, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(df, df, k=3).collect()) == want
 
 
 def test_prefix_forest(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, [0.0] * 16, 0), (2020, None, 0), (2040, [float("nan")] * 16, 0)], VECTORS)
-    monkeypatch.setattr(prefix_forest, "LEAST", 5)
     got = collections.defaultdict(list)
     for r in prefix_forest.nearest(df.where("vec_id % 20 = 0"), df).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))

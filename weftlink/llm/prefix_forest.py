@@ -17,7 +17,9 @@ stated set, broadcast in parts of bounded size. The directions come from a seed.
 
 Edge cases. Vectors that are null, empty or zero, or have null or non-finite
 components, take no part. With fewer than k candidates all are returned. Rows of
-one id are candidates each, but none for a query of that id.
+one id are candidates each, but none for a query of that id; of several query
+rows of one id the smallest vector asks. Ties go to the smaller id. An empty
+table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from weftlink.llm import vectors
 
 K, TREES, BITS = 20, 64, 32
-#: Share of a block's vectors that candidates make up at least, and their least number in multiples of k.
-ENOUGH, LEAST = 0.45, 60
+#: Share of a block's vectors that candidates make up at least, whatever its size.
+ENOUGH = 0.45
 SEED = 20
 
 _U = np.uint64
@@ -100,15 +102,18 @@ def _search(batches: Iterator[pa.RecordBatch], part: Broadcast, most: float, k:
         if rows.shape[1] != queries.shape[1]:
             continue
         forest = PrefixForest(rows, most)
-        enough = min(len(ids), max(int(np.ceil(ENOUGH * len(ids))), LEAST * k))
+        enough = min(len(ids), max(int(np.ceil(ENOUGH * len(ids))), k + 1))
         out = []
         for a in range(0, len(queries), 512):
             for i, at in enumerate(forest.candidates(queries[a : a + 512], enough), a):
                 at = at[ids[at] != query_ids[i]]
-                score = rows[at] @ queries[i]
+                near = rows[at] @ queries[i]
+                if len(at) > k:  # what rounding might bring among the best is compared by the sum that is returned
+                    slack = 1e-12 * np.abs(rows[at]).max() * np.abs(queries[i]).sum()
+                    at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - slack]
+                score = (rows[at] * queries[i]).sum(1)
                 top = vectors.best(score, ids[at], k)
-                at = at[top]
-                out.append((np.full(len(at), query_ids[i]), ids[at], (rows[at] * queries[i]).sum(1)))
+                out.append((np.full(len(top), query_ids[i]), ids[at[top]], score[top]))
         yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
 

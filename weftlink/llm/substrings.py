@@ -11,12 +11,16 @@ Scale. A task holds one block (``BLOCK`` windows) or one bucket (about
 ``BUCKET`` windows). A window that many documents share reaches its bucket once
 from each block, so a hot passage does not make a hot task. Beyond ``FANOUT``
 buckets the blocks are dealt out in several rounds, each by a part of the bits.
-Two different windows share a hash with probability 2**-64; of N windows about
-N*N/2**65 pairs do.
+Words are hashed by random numbers for (place, byte), windows by a polynomial over
+those hashes; two different windows share a hash with a probability of about
+2**-64, so of N windows about N*N/2**65 pairs do (of 10**9, 0.03).
 
 Edge cases. Null and empty texts have no words. A text shorter than ``width``
 has no window and stays. Rows with a null doc_id count as one smallest id. Rows
 that repeat a doc_id share the removals of that id, clipped to their length.
+A long text is cut in one task, whose memory grows with it. An empty table gives
+no rows. Ties in (doc_id, start) are one place. Other columns of docs, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from weftlink.llm._packed import pack as _pack
 from weftlink.llm._packed import unpack as _unpack
 
 WIDTH = 20
-BLOCK = 2_500_000
-BUCKET = 1_500_000
+BLOCK = 1_500_000
+BUCKET = 1_000_000
 FANOUT = 1024
 
 _U = np.uint64
@@ -201,8 +205,10 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
     for b in rounds[1:]:
         dealt = dealt.repartition(min(b // FANOUT, 20_000), "part").mapInArrow(lambda it, b=b: _finer(it, b), _REMOVED)
     last = rounds[-1]
-    spots = dealt.groupBy("part").applyInArrow(lambda t: _count(t, last), _REMOVED)
-    return spots.groupBy("part").applyInArrow(lambda t: _merge(t, width), "key long, begins array<int>, ends array<int>")
+    # as many partitions as buckets, so that a task's share doesn't depend on the session
+    parts = min(last, 20_000)
+    spots = dealt.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _count(t, last), _REMOVED)
+    return spots.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _merge(t, width), "key long, begins array<int>, ends array<int>")
 
 
 @_worker.task

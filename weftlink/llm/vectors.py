@@ -58,8 +58,9 @@ def query_parts(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             part = queries.where((F.size("vector") == n) & (F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i)).toArrow()
             if len(part):
                 ids = part.column("vec_id").to_numpy()
-                order = np.argsort(ids, kind="stable")
-                yield ids[order], matrix(part.column("vector").combine_chunks())[order]
+                rows = matrix(part.column("vector").combine_chunks())
+                order = np.lexsort((*rows.T[::-1], ids))  # the same whatever order rows arrive in
+                yield ids[order], rows[order]
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
