@@ -127,11 +127,15 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def _checkpoints(df: DataFrame) -> bool:
-    """Whether a checkpoint folder is set; sets the one that the cluster names, or one of this machine's where it names none."""
+    """Whether a checkpoint folder is set; sets the one that the cluster names. Only a local master, as in tests, may use a folder of its machine."""
+    import re
     import tempfile
 
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftlink-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="weftlink-"))
     return True

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlink import schema
@@ -305,10 +305,12 @@ def emb_truncate_norm(emb: DataFrame) -> DataFrame:
     return z.select("vec_id", F.round(norm, 6).alias("norm"), F.round(F.col("z")[0], 6).alias("first"), F.round(F.col("z")[31], 6).alias("last"))
 
 
-@on_embeddings("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(t.vec_id AS VARCHAR) AS target_id, list_inner_product(q.v, t.v) AS score FROM e q JOIN e t ON q.vec_id % 10 = 0 AND t.vec_id % 10 <> 0) SELECT query_id, target_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM s) WHERE rank <= 6")
+@on_embeddings("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(t.vec_id AS VARCHAR) AS target_id, list_inner_product(q.v, t.v) AS score FROM e q JOIN e t ON q.vec_id % 10 = 0 AND t.vec_id <> q.vec_id) SELECT query_id, target_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM s) WHERE rank <= 6")
 def dense_topk(emb: DataFrame) -> DataFrame:
     rows = emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vectors.dense_topk(rows.where("id % 10 = 0"), rows.where("id % 10 <> 0"), 6).withColumn("score", F.round("score", 6))
+    others = vectors.dense_topk(rows.where("id % 10 = 0"), rows, 7).where("query_id != target_id")  # one more, for the query itself
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "target_id")
+    return others.withColumn("rank", F.row_number().over(order)).where("rank <= 6").withColumn("score", F.round("score", 6))
 
 
 # pairs
