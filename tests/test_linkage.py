@@ -216,3 +216,47 @@ def test_train_validate_link_is_registered_with_the_default_models(spark, data,
     assert seen[0].params == models.default_params()
     assert seen[0].weights == linkage.Settings().weights
     assert seen[0].cap == schema.MAX_BLOCK
+
+
+def test_bundle_round_trip(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [[float(i % 2), *[rng.random() + (i % 2) * 0.3 for _ in pairs.FEATURES]] for i in range(80)]
+    df = spark.createDataFrame([[str(i), str(i), *r] for i, r in enumerate(rows)], ["s1_id", "target_id", "label", *pairs.FEATURES])
+    folder = str(tmp_path / "bundle")
+    assert linkage.Trained.load(folder) is None
+    fitted = models.train_all(df, {"gbt": {"maxIter": 2, "maxDepth": 2, "seed": 1}, "logistic": {"C": 1.0, "maxIter": 5}})
+    linkage.train_or_load(folder, lambda: linkage.Trained(fitted, {"p_gbt": 0.75, "p_logistic": 0.25}, 0.62))
+
+    def never():
+        raise AssertionError("trained again")
+
+    again = linkage.train_or_load(folder, never)
+    assert (again.weights, again.threshold, list(again.models)) == ({"p_gbt": 0.75, "p_logistic": 0.25}, 0.62, ["gbt", "logistic"])
+    p = lambda m: models.predict(m, df).select("s1_id", "p_gbt", "p_logistic").orderBy("s1_id").collect()
+    assert p(again.models) == p(fitted)
+
+
+def test_tsv_keeps_rows_whole(spark, tmp_path):
+    path = str(tmp_path / "x.tsv")
+    rows = [("S1-1", "a\tb\r\nc", '"q" \\ x', "en"), ("S1-2", None, "", " fr ")]
+    tables.write_tsv(spark.createDataFrame(rows, RECORDS), path)
+    got = [tuple(r) for r in tables.read_tsv(spark, path).orderBy("entity_id").collect()]
+    assert got == [("S1-1", "a b  c", '"q" \\ x', "en"), ("S1-2", "", "", " fr ")]
+
+
+def test_link_files_of_some_countries(spark, data, tmp_path):
+    r = fixture.Records(spark, data)
+    for s in ("S1", "S2", "S3"):
+        tables.write_tsv(r.sources.where(f"source = '{s}'").select(*schema.SOURCE_COLUMNS), str(tmp_path / f"{s}.tsv"))
+    settings = linkage.Settings(k=10, threshold=0.4, countries=("en",))
+    linkage.link_files(spark, str(tmp_path / "S1.tsv"), [str(tmp_path / "S2.tsv"), str(tmp_path / "S3.tsv")], str(tmp_path / "out"), linkage.word_jaccard, settings)
+    files = [p for p in (tmp_path / "out" / "matching_results.tsv").iterdir() if p.name.startswith("part-")]
+    lines = "".join(p.read_text() for p in files).splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids"
+    assert sorted(x.split("\t")[0] for x in lines[1:]) == sorted(x.entity_id for x in r.s1.where("country = 'en'").collect())
+
+
+def test_write_by_country(spark, tmp_path):
+    df = spark.createDataFrame([("a", "en"), ("b", "fr"), ("c", "en")], "id string, country string")
+    tables.write_by_country(df, str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "country=en")).collect())) == [("a",), ("c",)]

@@ -145,6 +145,7 @@ def word_tokens(clean: Column) -> Column:
     return words(again(clean))
 
 
+# Fixed value: the prompt before a query.
 QUERY_PROMPT = "Instruct: Retrieve matching business identity records across noisy sources\nQuery: "
 
 

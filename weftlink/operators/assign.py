@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink import schema
+from weftlink.sources import tables
 
 THRESHOLD = 0.70
 #: 0.40, 0.42, ... 0.90.
@@ -127,15 +128,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def _checkpoints(df: DataFrame) -> bool:
-    """Whether a checkpoint folder is set; sets the one that the cluster names. Only a local master, as in tests, may use a folder of its machine."""
-    import re
-    import tempfile
-
+    """Whether a checkpoint folder is set; sets the one that the cluster names."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="weftlink-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tables.shared_dir(spark))
     return True

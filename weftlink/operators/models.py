@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -48,13 +50,22 @@ def train_logistic(rows: DataFrame, params: dict) -> PipelineModel:
     return _fit([_assembler("raw"), scaler, LogisticRegression(standardization=False, elasticNetParam=0.0, **params)], rows)
 
 
+#: Rows a partition in training: each tree level is a job, and a job costs more than so many rows.
+ROWS = 20_000
+
 TRAINERS = {"gbt": train_gbt, "gbt_wide": train_gbt, "forest": train_forest, "logistic": train_logistic}
 
 
 def train_all(rows: DataFrame, params: dict[str, dict] | None = None) -> dict[str, PipelineModel]:
-    """Every model of params on rows with the features and label."""
+    """Every model of params on rows with the features and label, side by side, on as many partitions as the rows fill."""
     params = params or default_params()
-    return {name: TRAINERS[name](rows, p) for name, p in params.items()}
+    packed = rows.select("label", *FEATURES).coalesce(max(1, -(-rows.count() // ROWS))).persist()
+    try:
+        with ThreadPoolExecutor(max(1, len(params))) as pool:
+            fitted = {name: pool.submit(TRAINERS[name], packed, p) for name, p in params.items()}
+            return {name: f.result() for name, f in fitted.items()}
+    finally:
+        packed.unpersist()
 
 
 def predict(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:

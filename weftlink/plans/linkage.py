@@ -10,11 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlink import schema
 from weftlink.operators import assign, blocking, export, metrics, models, pairs, scoring
+from weftlink.sources import tables
 
 #: Training entities: more than MOST, or None, become DEFAULT.
 TRAIN_DEFAULT, TRAIN_MOST = 50_000, 60_000
@@ -38,7 +39,25 @@ class Trained:
     models: dict[str, PipelineModel]
     weights: dict[str, float]
     threshold: float
-    sweep: DataFrame
+    sweep: DataFrame | None = None
+
+    def save(self, folder: str) -> None:
+        """Everything that link needs; the sweep is a report and is not kept."""
+        tables.save_bundle(self.models, {"weights": self.weights, "threshold": self.threshold}, folder)
+
+    @classmethod
+    def load(cls, folder: str) -> Trained | None:
+        found = tables.load_bundle(folder)
+        return found and cls(found[0], found[1]["weights"], found[1]["threshold"])
+
+
+def train_or_load(folder: str, train: Callable[[], Trained]) -> Trained:
+    """The bundle in folder; where there is none, the one that train gives, which is then kept there."""
+    found = Trained.load(folder)
+    if found is None:
+        found = train()
+        found.save(folder)
+    return found
 
 
 def guard(n: int | None, default: int, most: int) -> int:
@@ -100,6 +119,19 @@ def word_jaccard(both: DataFrame) -> DataFrame:
     return both.select("s1_id", "target_id", pairs.set_features()["name_word_jaccard"].alias("p"))
 
 
+def link_files(spark: SparkSession, s1: str, targets: list[str], out: str, score: Callable[[DataFrame], DataFrame], settings: Settings | None = None) -> None:
+    """From tab-separated records to the two result files in the folder out."""
+    read = lambda path: schema.normalise_sources(tables.read_tsv(spark, path))
+    left, right = read(s1), read(targets[0])
+    for path in targets[1:]:
+        right = right.unionByName(read(path))
+    left = only(left, (settings or Settings()).countries)
+    matches, found = link_by(left, right, score, settings)
+    rows = result(matches, found, left).persist()
+    tables.write_results(rows, rows, out)
+    rows.unpersist()
+
+
 def result(matches: DataFrame, found: DataFrame, s1: DataFrame) -> DataFrame:
     return export.format_output(matches, found, s1.select(F.col("entity_id").alias("s1_id")))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftlink import schema
 from weftlink.functions import text
@@ -16,7 +20,7 @@ from weftlink.sources import tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-CAP, K, THRESHOLD = 50, 10, 0.4
+CAP, K, THRESHOLD = schema.MAX_BLOCK, 10, 0.4
 
 
 def query(sql: str | None = None, *parts: str) -> Callable:
@@ -227,6 +231,12 @@ def format_text(r: fixture.Records) -> DataFrame:
     return r.raw.select("entity_id", text.format_record(text.clean_name(F.col("business_name")), text.clean_address(F.col("business_address")), F.col("country")).alias("text"))
 
 
+@query("SELECT entity_id, 'Instruct: Retrieve matching business identity records across noisy sources' || chr(10) || 'Query: Business: ' || name || ' | Address: ' || addr || ' | Country: ' || trim(coalesce(country, '')) AS text FROM clean WHERE source = 'S1'", "clean")
+def format_query_text(r: fixture.Records) -> DataFrame:
+    s1 = r.raw.where("source = 'S1'")
+    return s1.select("entity_id", text.format_record(text.clean_name(F.col("business_name")), text.clean_address(F.col("business_address")), F.col("country"), is_query=True).alias("text"))
+
+
 @query("SELECT t.s1_id, t.target_id, 'Business: ' || a.name || ' | Address: ' || a.addr AS text1, 'Business: ' || b.name || ' | Address: ' || b.addr AS text2 FROM truth t JOIN clean a ON a.entity_id = t.s1_id JOIN clean b ON b.entity_id = t.target_id", "clean")
 def format_pair(r: fixture.Records) -> DataFrame:
     both = _both(r, r.truth)
@@ -289,6 +299,37 @@ def hybrid_union(r: fixture.Records) -> DataFrame:
     return blocking.union_candidates(exact=_found(r), sparse=_sparse(r).withColumnRenamed("query_id", "s1_id"))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _letter_counts() -> Callable[[list[str]], np.ndarray]:
+    """An encoder that SQL can repeat: how often each letter and digit is in a text. Whole numbers, so products are exact."""
+    return lambda texts: np.array([[t.count(c) for c in _LETTERS] for t in texts], np.float64).reshape(len(texts), len(_LETTERS))
+
+
+SQL_PARTS["dense"] = f"""letters AS (
+  SELECT entity_id, source, list_transform(range(1, {len(_LETTERS) + 1}), lambda i: CAST(length(cn) - length(replace(cn, substr('{_LETTERS}', i, 1), '')) AS DOUBLE)) AS v FROM clean),
+dense AS (
+  SELECT query_id, target_id FROM (
+    SELECT q.entity_id AS query_id, t.entity_id AS target_id, row_number() OVER (PARTITION BY q.entity_id ORDER BY list_inner_product(q.v, t.v) DESC, t.entity_id) AS rank
+    FROM letters q JOIN letters t ON q.source = 'S1' AND t.source <> 'S1') WHERE rank <= 3)"""
+
+
+def _dense(r: fixture.Records) -> DataFrame:
+    names = r.sources.select("entity_id", "source", text.clean_text(F.col("business_name")).alias("text"))
+    side = lambda which: vectors.encode(names.where(which), _letter_counts).withColumnRenamed("entity_id", "id")
+    return vectors.dense_topk(side("source = 'S1'"), side("source <> 'S1'"), 3)
+
+
+@query("""SELECT s1_id, target_id, string_agg(b, ',' ORDER BY b) AS branches FROM (
+  SELECT s1_id, target_id, 'exact' AS b FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY shared DESC, target_id) AS n FROM cand) WHERE n <= 6
+  UNION ALL SELECT query_id, target_id, 'sparse' FROM sparse UNION ALL SELECT query_id, target_id, 'dense' FROM dense) GROUP BY ALL""", "clean", "keys", "sparse", "dense")
+def hybrid_three(r: fixture.Records) -> DataFrame:
+    """6 candidates by keys, 4 by terms and 3 by vectors."""
+    exact = blocking.candidates(blocking.block_index(r.s23, CAP), r.s1, 6)
+    return blocking.union_candidates(exact=exact, **{name: df.withColumnRenamed("query_id", "s1_id") for name, df in (("sparse", _sparse(r)), ("dense", _dense(r)))})
+
+
 def on_embeddings(sql: str) -> Callable:
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -420,16 +461,66 @@ def format_output(r: fixture.Records) -> DataFrame:
     return _output(r)
 
 
-@query("SELECT unnest(['missing_entities', 'unknown_entities', 'repeated_entities', 'matches_without_candidate']) AS \"check\", CAST(0 AS BIGINT) AS failures")
+_BROKEN = f"""broken AS (
+  SELECT * FROM ({_OUTPUT}) WHERE source1_entity_id NOT LIKE '%7'
+  UNION ALL SELECT * FROM ({_OUTPUT}) WHERE source1_entity_id LIKE '%4'
+  UNION ALL SELECT 'X' || source1_entity_id, matched_entity_ids, '' FROM ({_OUTPUT}) WHERE source1_entity_id LIKE '%2')"""
+SQL_PARTS["broken"] = _BROKEN
+
+
+@query("""SELECT 'missing_entities' AS "check", count(*) AS failures FROM s1 WHERE entity_id NOT IN (SELECT source1_entity_id FROM broken)
+UNION ALL SELECT 'unknown_entities', count(*) FROM broken WHERE source1_entity_id NOT IN (SELECT entity_id FROM s1)
+UNION ALL SELECT 'repeated_entities', count(*) FROM (SELECT source1_entity_id FROM broken GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'matches_without_candidate', count(*) FROM broken WHERE len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '' AND NOT list_contains(string_split(candidate_entity_ids, ','), x))) > 0""", *_SCORE, "winners", "matches", "broken")
 def validate_output(r: fixture.Records) -> DataFrame:
-    return export.validate(_output(r), r.spine)
+    """An output that lacks, repeats and makes up rows, and has matches that are no candidates."""
+    whole, i = _output(r), F.col("source1_entity_id")
+    made_up = whole.where(i.endswith("2")).select(F.concat(F.lit("X"), i).alias("source1_entity_id"), "matched_entity_ids", F.lit("").alias("candidate_entity_ids"))
+    return export.validate(whole.where(~i.endswith("7")).unionByName(whole.where(i.endswith("4"))).unionByName(made_up), r.spine)
 
 
-@query(f"SELECT * FROM ({_OUTPUT})", *_SCORE, "winners", "matches")
+@query(f"""SELECT source1_entity_id, CASE WHEN source1_entity_id LIKE '%3' THEN '' WHEN source1_entity_id LIKE '%5' THEN 'S2-x,S3-y' ELSE matched_entity_ids END AS matched_entity_ids,
+  CASE WHEN source1_entity_id LIKE '%3' THEN '' WHEN source1_entity_id LIKE '%5' THEN 'S2-x,S3-y' ELSE candidate_entity_ids END AS candidate_entity_ids FROM ({_OUTPUT})""", *_SCORE, "winners", "matches")
 def merge_outputs(r: fixture.Records) -> DataFrame:
-    whole = _output(r)
-    stale = whole.select("source1_entity_id", F.lit("").alias("matched_entity_ids"), F.lit("").alias("candidate_entity_ids"))
-    return export.merge_outputs([stale, whole], r.spine)
+    """A whole run whose candidates lack the matches, then a later one over some entities; an entity of neither has an empty row."""
+    whole, i = _output(r), F.col("source1_entity_id")
+    less = F.array_join(F.array_except(F.split("candidate_entity_ids", ","), F.split("matched_entity_ids", ",")), ",")
+    first = whole.where(~i.endswith("3")).withColumn("candidate_entity_ids", less)
+    later = whole.where(i.endswith("5")).select("source1_entity_id", F.lit("S3-y, S2-x").alias("matched_entity_ids"), F.lit("S2-x").alias("candidate_entity_ids"))
+    return export.merge_outputs([first, later], r.spine)
+
+
+@query(f"SELECT source1_entity_id, matched_entity_ids, candidate_entity_ids FROM ({_OUTPUT})", *_SCORE, "winners", "matches")
+def link_tsv(r: fixture.Records) -> DataFrame:
+    """Three tab-separated files in, the two result files out, and these read again."""
+    spark = r.raw.sparkSession
+    folder = f"{tables.shared_dir(spark)}/link-{uuid.uuid4().hex}"
+    paths = [f"{folder}/{s}.tsv" for s in ("S1", "S2", "S3")]
+    for source, path in zip(("S1", "S2", "S3"), paths, strict=True):
+        tables.write_tsv(r.raw.where(F.col("source") == source).select(*schema.SOURCE_COLUMNS), path, one_file=False)
+    linkage.link_files(spark, paths[0], paths[1:], folder, linkage.word_jaccard, linkage.Settings(cap=CAP, k=K, threshold=THRESHOLD))
+    read = lambda name, columns: tables.read_tsv(spark, f"{folder}/{name}.tsv", fields=T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    return read("matching_results", schema.GROUND_TRUTH_COLUMNS).join(read("candidate_pairs", schema.CANDIDATE_COLUMNS), "source1_entity_id")
+
+
+@query(f"SELECT o.source1_entity_id, o.matched_entity_ids FROM ({_OUTPUT}) o JOIN s1 x ON x.entity_id = o.source1_entity_id WHERE x.country IN ('en', 'fr')", *_SCORE, "winners", "matches")
+def link_countries(r: fixture.Records) -> DataFrame:
+    """Keys hold the country, so a run over some countries gives their rows of the run over all."""
+    settings = linkage.Settings(cap=CAP, k=K, threshold=THRESHOLD, countries=("en", "fr"))
+    matches, found = linkage.link_by(r.s1, r.s23, linkage.word_jaccard, settings)
+    return linkage.result(matches, found, linkage.only(r.s1, settings.countries)).select(*schema.GROUND_TRUTH_COLUMNS)
+
+
+def _length_scorer() -> scoring.PairScorer:
+    """A scorer that SQL can repeat: a logit that falls with the difference of lengths."""
+    return lambda some: np.array([2.0 - abs(len(a) - len(b)) / 8.0 for a, b in some])
+
+
+@query("SELECT c.s1_id, c.target_id, round(1 / (1 + exp(-(2.0::DOUBLE - abs(length('Business: ' || a.name || ' | Address: ' || a.addr) - length('Business: ' || b.name || ' | Address: ' || b.addr)) / 8.0::DOUBLE))), 6) AS p FROM cand c JOIN clean a ON a.entity_id = c.s1_id JOIN clean b ON b.entity_id = c.target_id", *_BLOCK)
+def rerank_fixed(r: fixture.Records) -> DataFrame:
+    pair = text.format_pair(F.col("p1.clean_name"), F.col("p1.clean_addr"), F.col("p2.clean_name"), F.col("p2.clean_addr"))
+    both = _both(r).select("s1_id", "target_id", pair.alias("t")).select("s1_id", "target_id", "t.text1", "t.text2")
+    return scoring.rerank(both, _length_scorer, "logit").withColumn("p", F.round("p", 6))
 
 
 # profiling and sampling

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -14,6 +17,17 @@ from weftlink import schema
 from weftlink.functions import text
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors must share; only a local master, as in tests, may use one of its machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and re.match(r"local(\[|$)", spark.sparkContext.master):
+        found = tempfile.mkdtemp(prefix="weftlink-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found.rstrip("/")
+
+
 def read_tsv(spark: SparkSession, path: str, nrows: int | None = None, usecols: Sequence[str] | None = None, fields: T.StructType = schema.SOURCE, order_by: str | None = None) -> DataFrame:
     """Tab-separated strings with a header; missing fields are empty strings. The columns asked for are all that is parsed.
 
@@ -60,9 +74,16 @@ def ground_truth_spine(gt: DataFrame) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str, one_file: bool = True) -> None:
-    """Tab-separated with a header; one file for tables that a single reader expects, else one for each partition."""
-    out = df.coalesce(1) if one_file else df
-    out.write.mode("overwrite").csv(path, sep=schema.DELIMITER, header=True, emptyValue="", quote="", encoding=schema.ENCODING)
+    """Tab-separated with a header; one file for tables that a single reader expects, else one for each partition.
+
+    The format has no quotes, so tabs and line ends within values become blanks; nothing else changes.
+    """
+    values = [F.regexp_replace(f.name, "[\\t\\r\\n]", " ").alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema]
+    out = df.select(*values)
+    out = out.coalesce(1) if one_file else out
+    out.write.mode("overwrite").csv(
+        path, sep=schema.DELIMITER, header=True, emptyValue="", quote="", encoding=schema.ENCODING, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_results(matches: DataFrame, candidates: DataFrame, folder: str) -> None:
@@ -79,6 +100,24 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def save_bundle(models: dict[str, PipelineModel], facts: dict, folder: str) -> None:
+    """Models, and facts (weights, threshold) as one JSON line, which is written last: a folder without it is no bundle."""
+    spark = SparkSession.active()
+    for name, model in models.items():
+        save_model(model, f"{folder}/models/{name}")
+    spark.createDataFrame([(json.dumps({**facts, "models": list(models)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/facts")
+
+
+def load_bundle(folder: str) -> tuple[dict[str, PipelineModel], dict] | None:
+    """(models, facts) of save_bundle; None where there is no whole bundle, so that the caller trains one."""
+    spark = SparkSession.active()
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/facts/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return None
+    facts = json.loads(spark.read.text(f"{folder}/facts").first().value)
+    return {name: PipelineModel.load(f"{folder}/models/{name}") for name in facts.pop("models")}, facts
+
+
 def load_model(path: str) -> PipelineModel | None:
     """The saved model; None where there is none, so that the caller trains one. Other errors are raised."""
     spark = SparkSession.active()
