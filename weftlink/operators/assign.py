@@ -113,7 +113,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component) of each id in links (a, b): the smallest id that it is connected with, by rounds of the least label of
     neighbours and of that label's own label."""
     links = edges.union(edges.select("b", "a")).distinct()
-    links = links.checkpoint() if _checkpoints(links) else links
+    tables.use_checkpoints(edges.sparkSession)
+    links = links.checkpoint()
     label = links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     for _ in range(rounds):
         near = links.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
@@ -125,11 +126,3 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if not moved.where("old != component").limit(1).count():
             return label
     raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def _checkpoints(df: DataFrame) -> bool:
-    """Whether a checkpoint folder is set; sets the one that the cluster names."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tables.shared_dir(spark))
-    return True

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from weftlink import schema
 from weftlink.operators.pairs import FEATURES
+from weftlink.sources import tables
 
 
 def default_params() -> dict[str, dict]:
@@ -57,8 +58,12 @@ TRAINERS = {"gbt": train_gbt, "gbt_wide": train_gbt, "forest": train_forest, "lo
 
 
 def train_all(rows: DataFrame, params: dict[str, dict] | None = None) -> dict[str, PipelineModel]:
-    """Every model of params on rows with the features and label, side by side, on as many partitions as the rows fill."""
+    """Every model of params on rows with the features and label, side by side, on as many partitions as the rows fill.
+
+    Boosting cuts its lineage every ten rounds by checkpoints in the shared folder; else each round costs more than the one before.
+    """
     params = params or default_params()
+    tables.use_checkpoints(rows.sparkSession)
     packed = rows.select("label", *FEATURES).coalesce(max(1, -(-rows.count() // ROWS))).persist()
     try:
         with ThreadPoolExecutor(max(1, len(params))) as pool:

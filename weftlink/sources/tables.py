@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Lets checkpoint() write to the shared folder, unless another is set."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def read_tsv(spark: SparkSession, path: str, nrows: int | None = None, usecols: Sequence[str] | None = None, fields: T.StructType = schema.SOURCE, order_by: str | None = None) -> DataFrame:
     """Tab-separated strings with a header; missing fields are empty strings. The columns asked for are all that is parsed.
 
