@@ -445,7 +445,7 @@ def decode(encoded: DataFrame, spec: Spec | None = None, id_col: str = "doc_id")
     return out.select(_spark.id_back("key").alias(id_col), "text")
 
 
-def _digests(batches: Iterator[pa.RecordBatch], spec: Spec, with_ids: bool, tables: float) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], spec: Spec, with_ids: bool, tables: float, keep: bool) -> Iterator[pa.RecordBatch]:
     own = codec(spec, tables)
     rows, size = [], 0
     try:
@@ -462,7 +462,8 @@ def _digests(batches: Iterator[pa.RecordBatch], spec: Spec, with_ids: bool, tabl
         if rows:
             yield _as_batch(rows)
     finally:
-        own.forget()
+        if not keep:
+            own.forget()
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -470,13 +471,14 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[i] for x in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
 
-def round_trip(docs: DataFrame, spec: Spec | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", tables: float = 1.0) -> DataFrame:
+def round_trip(docs: DataFrame, spec: Spec | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", tables: float = 1.0, keep: bool = False) -> DataFrame:
     """Each row's id, n_tokens, ids_sha256, decoded_sha256 and ids, encoded and decoded in one pass so that ids needn't be moved.
 
     tables: the share of the usual table sizes that a worker keeps, about 230 MB at 1; with less of them more is worked out again.
+    keep: the tables stay in the worker for the tasks that follow, for jobs in which nothing else needs the memory.
     """
     spec = spec or default_spec()
     _spark.with_small_batches(docs.sparkSession)
     source = docs.select(_spark.id_or_min(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = source.mapInArrow(lambda it: _digests(it, spec, with_ids, tables), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    out = source.mapInArrow(lambda it: _digests(it, spec, with_ids, tables, keep), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
     return out.select(_spark.id_back("key").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)

@@ -41,7 +41,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), with_ids=False)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), with_ids=False, keep=True)
 
 
 @query
