@@ -171,6 +171,90 @@ def test_vectors(spark):
     assert enc.vector == [2.0, 1.0]
 
 
+def test_candidates_move_pairs_once(spark, data):
+    """The pairs of common keys are dealt by record; counting them and choosing k take no further shuffle."""
+    r = fixture.Records(spark, data)
+    found = blocking.candidates(blocking.block_index(r.s23, 300), r.s1, 10)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    above = plan[: plan.index("Join")]
+    assert above.count("Exchange hashpartitioning") == 1
+
+
+def _best_by_id(scores, k):
+    """{query: [(target, score)]} from {(query, target): score}."""
+    out = {}
+    for (q, t), x in sorted(scores.items(), key=lambda e: (e[0][0], -e[1], e[0][1])):
+        if len(out.setdefault(q, [])) < k:
+            out[q].append((t, x))
+    return out
+
+
+def _found_by_id(df):
+    out = {}
+    for x in df.orderBy("query_id", "rank").collect():
+        out.setdefault(x.query_id, []).append((x.target_id, x.score))
+        assert x["rank"] == len(out[x.query_id])
+    return out
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_sparse_topk_sums_where_targets_lie(spark, monkeypatch, whole):
+    """The same as by all pairs, in many small tables, and no row for each pair of a common term goes through a shuffle."""
+    monkeypatch.setattr(vectors, "CELLS", 500)
+    rng = random.Random(5)
+    weight = lambda: float(rng.randint(1, 3)) if whole else rng.choice([-1.5, 0.0, 0.0000005, 0.3, 2.0])
+    side = lambda name, n: [(f"{name}{i}", f"w{int(rng.random() ** 3 * 30)}", weight()) for i in range(n) for _ in range(4)] + [(f"{name}{i}", "all", 1.0) for i in range(n)]
+    q, t = side("q", 60), side("t", 150)
+    sums = {}
+    for a, x, v in q:
+        for b, y, w in t:
+            if x == y:
+                sums[a, b] = sums.get((a, b), 0) + v * w
+    frame = lambda rows: spark.createDataFrame(rows, "id string, term string, w double")
+    found = vectors.sparse_topk(frame(q), frame(t), 4)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = _found_by_id(found)
+    want = _best_by_id({p: round(x, 6) if whole else float(vectors._rounded(np.array([x]))[0]) for p, x in sums.items()}, 4)
+    if whole:
+        assert got == want
+    else:  # sums of such products depend on their order in the last place
+        assert {a: [x for _, x in r] for a, r in got.items()} == {a: pytest.approx([x for _, x in r], abs=1.1e-6) for a, r in want.items()}
+
+
+def test_rounding_is_that_of_spark(spark):
+    x = [0.0000005, -0.0000005, 0.1234565, 1.0000015, 2.5, 1e300, -3.00000049999, 123456.1234565, 8589934592.1234567, 0.0]
+    want = [r.y for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.round("x", 6).alias("y")).collect()]
+    assert vectors._rounded(np.array(x)).tolist() == want
+
+
+def test_dense_topk_with_copies_zeros_and_few_targets(spark, monkeypatch):
+    """The same as by all pairs: equal vectors on both sides, zero vectors that tie with all, lengths far apart."""
+    rng = np.random.default_rng(3)
+    some = rng.integers(0, 5, (700, 6)).astype(float) * rng.choice([1, 1, 1, 9], (700, 1))
+    some[::20] = 0
+    some[5::7] = some[4]
+    rows = [(f"t{i}", v.tolist()) for i, v in enumerate(some)]
+    asked = [(f"q{i}", v.tolist()) for i, v in enumerate(np.concatenate([some[:40], -some[:5]]))]
+    frame = lambda x: spark.createDataFrame(x, "id string, vector array<double>")
+    want = _best_by_id({(a, b): float(np.dot(v, w)) for a, v in asked for b, w in rows}, 3)
+    assert _found_by_id(vectors.dense_topk(frame(asked), frame(rows), 3)) == want
+    monkeypatch.setattr(vectors, "PART", 600)
+    assert _found_by_id(vectors.dense_topk(frame(asked[:20]), frame(rows[:2]), 3)) == _best_by_id({(a, b): float(np.dot(v, w)) for a, v in asked[:20] for b, w in rows[:2]}, 3)
+
+
+def test_dense_topk_leaves_out_short_rows(monkeypatch):
+    """Rows that are too short to be among the nearest are not multiplied, and results come once for each class of copies."""
+    x = np.random.default_rng(4).random((20_000, 8))
+    x[:10] *= 100
+    taken = []
+    monkeypatch.setattr(vectors, "_best", lambda q, s, p, k, f=vectors._best: taken.append(len(q)) or f(q, s, p, k))
+    query, place, score = vectors._dense_block(x[:100], x, 3, np.full(100, -np.inf))
+    assert sum(taken) < 5000
+    assert all(set(place[query == i]) == set(np.argsort(-(x @ x[i]))[:3]) for i in range(100))
+    assert len(query) == 300
+
+
 def test_end_to_end(spark, data):
     r = fixture.Records(spark, data)
     matches, found = linkage.link_by(r.s1, r.s23, linkage.word_jaccard, linkage.Settings(cap=50, k=10, threshold=0.4))
