@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlink import schema
-from weftlink.operators import assign, blocking, export, metrics, models, pairs, sampling, scoring, vectors
+from weftlink.operators import assign, blocking, export, metrics, models, pairs, sampling, scoring, trees, vectors
 from weftlink.plans import fixture, linkage, queries
 from weftlink.sources import tables
 
@@ -302,6 +302,48 @@ def test_train_validate_link_is_registered_with_the_default_models(spark, data,
     assert seen[0].cap == schema.MAX_BLOCK
 
 
+def _labelled(spark, n, values):
+    rng = random.Random(9)
+    rows = []
+    for i in range(n):
+        x = [rng.randrange(values) / values for _ in pairs.FEATURES]
+        rows.append([str(i), float(x[0] + x[1] * x[2] + 0.3 * rng.random() > 0.9), *x])
+    return spark.createDataFrame(rows, ["id", "label", *pairs.FEATURES])
+
+
+@pytest.mark.parametrize(("name", "params"), [("gbt", {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3, "seed": 3}), ("gbt_wide", {"maxIter": 1, "maxDepth": 5, "maxBins": 64, "seed": 3})])
+def test_boosting_is_that_of_spark(spark, name, params):
+    """Without draws and with all splits tried, both trainers learn the same."""
+    df = _labelled(spark, 600, 7)
+    p = lambda m: [x[0] for x in models.predict_one(m, df).orderBy("id").select("p").collect()]
+    assert p(models.train_all(df, {name: params})[name]) == pytest.approx(p(models.train_gbt(df.select("label", *pairs.FEATURES), params)), abs=1e-9)
+
+
+def test_ensembles_take_no_job_for_each_level(spark):
+    """All rounds of the boosted trees and the forest in a fixed number of jobs; as good as Spark's trainers; runs agree."""
+    df = _labelled(spark, 1500, 1000)
+    params = models.default_params()
+    some = {"gbt": {**params["gbt"], "maxIter": 60}, "forest": {**params["forest"], "numTrees": 60}}
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    fitted = models.train_all(df, some)
+    assert jobs() - before < 60
+    assert [len(fitted[m].stages[1].trees) for m in some] == [60, 60]
+    assert fitted["gbt"].stages[1].treeWeights == [1.0] + [0.05] * 59
+    assert max(t.depth for m in some for t in fitted[m].stages[1].trees) == 6
+    wrong = lambda fit, m: models.predict_one(fit, df).where("(p > 0.5) != (label = 1)").count()
+    assert wrong(fitted["gbt"], "gbt") <= wrong(models.train_gbt(df.select("label", *pairs.FEATURES), {**some["gbt"], "maxIter": 20}), "gbt") + 15
+    assert wrong(fitted["forest"], "forest") <= wrong(models.train_forest(df.select("label", *pairs.FEATURES), some["forest"]), "forest") + 30
+    again = models.train_all(df.repartition(3), some)
+    p = lambda f: models.predict(f, df).orderBy("id").select("p_gbt", "p_forest").collect()
+    assert p(again) == p(fitted)
+
+
+@pytest.mark.parametrize(("strategy", "forest", "n"), [("0.8", False, 13), ("auto", True, 4), ("auto", False, 16), ("sqrt", True, 4), ("log2", True, 4), ("onethird", True, 6), ("20", True, 16)])
+def test_features_of_a_node(strategy, forest, n):
+    assert trees.features_of_a_node(strategy, 16, forest) == n
+
+
 def test_bundle_round_trip(spark, tmp_path):
     rng = random.Random(5)
     rows = [[float(i % 2), *[rng.random() + (i % 2) * 0.3 for _ in pairs.FEATURES]] for i in range(80)]

@@ -9,8 +9,10 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftlink import schema
+from weftlink.operators import trees
 from weftlink.operators.pairs import FEATURES
 from weftlink.sources import tables
 
@@ -60,15 +62,20 @@ TRAINERS = {"gbt": train_gbt, "gbt_wide": train_gbt, "forest": train_forest, "lo
 def train_all(rows: DataFrame, params: dict[str, dict] | None = None) -> dict[str, PipelineModel]:
     """Every model of params on rows with the features and label, side by side, on as many partitions as the rows fill.
 
-    Boosting cuts its lineage every ten rounds by checkpoints in the shared folder; else each round costs more than the one before.
+    Tree ensembles are grown by operators.trees. With parameters or labels that it does not know, Spark ML's own trainers take their place, where
+    boosting cuts its lineage every ten rounds by checkpoints in the shared folder; else each round costs more than the one before.
     """
     params = params or default_params()
     tables.use_checkpoints(rows.sparkSession)
-    packed = rows.select("label", *FEATURES).coalesce(max(1, -(-rows.count() // ROWS))).persist()
+    packed = rows.select(F.col("label").cast("double").alias("label"), *FEATURES).na.fill(0.0, list(FEATURES)).coalesce(max(1, -(-rows.count() // ROWS))).persist()
     try:
-        with ThreadPoolExecutor(max(1, len(params))) as pool:
-            fitted = {name: pool.submit(TRAINERS[name], packed, p) for name, p in params.items()}
-            return {name: f.result() for name, f in fitted.items()}
+        plain = packed.where("label is null or label not in (0, 1)").isEmpty() and not packed.isEmpty()
+        kinds = {name: RandomForestClassifier if TRAINERS[name] is train_forest else GBTClassifier for name in params if TRAINERS[name] is not train_logistic}
+        grown = {name: kind(**params[name]) for name, kind in kinds.items() if plain and set(params[name]) <= trees.KNOWN}
+        with ThreadPoolExecutor(1 + len(params)) as pool:
+            ensembles = pool.submit(trees.train, packed, grown) if grown else None
+            fitted = {name: pool.submit(TRAINERS[name], packed, p) for name, p in params.items() if name not in grown}
+            return {name: PipelineModel(stages=[_assembler(), ensembles.result()[name]]) if name in grown else fitted[name].result() for name in params}
     finally:
         packed.unpersist()
 

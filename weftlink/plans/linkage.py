@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlink import schema
+from weftlink.llm._spark import drop, free_shuffles, written
 from weftlink.operators import assign, blocking, export, metrics, models, pairs, scoring
 from weftlink.sources import tables
 
@@ -82,20 +83,22 @@ def features(found: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
 def train_and_validate(s1: DataFrame, targets: DataFrame, truth: DataFrame, is_train: Column, settings: Settings | None = None) -> Trained:
     """Fits all models on the training entities' pairs (true pairs included) and picks the threshold on the others' (candidates only)."""
     settings = settings or Settings()
-    part = s1.select("entity_id", is_train.alias("is_train"))
-    true = truth.join(part.withColumnRenamed("entity_id", "s1_id"), "s1_id")
-    found = find_pairs(s1, targets, settings).join(part.withColumnRenamed("entity_id", "s1_id"), "s1_id").persist()
-    train = pairs.labelled_pairs(found.where("is_train"), true.where("is_train"), True)
-    check = pairs.labelled_pairs(found.where("not is_train"), true.where("not is_train"), False)
-    rows = features(train, s1, targets).join(train, ["s1_id", "target_id"]).select("label", *pairs.FEATURES).persist()
+    spark = s1.sparkSession
+    part = s1.select(F.col("entity_id").alias("s1_id"), is_train.alias("is_train"))
+    # tables between the steps are written: plans stay small on the driver, and nothing is worked out twice
+    true = written(truth.select("s1_id", "target_id").join(part, "s1_id"), "true")
+    found = written(find_pairs(s1, targets, settings).join(part, "s1_id"), "found")
+    train = written(pairs.labelled_pairs(found.where("is_train"), true.where("is_train"), True), "train")
+    rows = written(features(train, s1, targets).join(train, ["s1_id", "target_id"]).select("label", *pairs.FEATURES), "rows")
+    free_shuffles(spark)
     fitted = models.train_all(rows, settings.params)
-    rows.unpersist()
-    scored = models.predict(fitted, features(check, s1, targets)).withColumn("p", scoring.blend(settings.weights)).select("s1_id", "target_id", "p")
-    spine = part.where("not is_train").select(F.col("entity_id").alias("s1_id"))
-    sweep = assign.threshold_sweep(scored, true.where("not is_train"), spine).persist()
-    best = assign.best_threshold(sweep)
-    found.unpersist()
-    return Trained(fitted, settings.weights, best, sweep)
+    check = found.where("not is_train").select("s1_id", "target_id")
+    scored = written(models.predict(fitted, features(check, s1, targets)).withColumn("p", scoring.blend(settings.weights)).select("s1_id", "target_id", "p"), "scored")
+    sweep = assign.threshold_sweep(scored, true.where("not is_train"), part.where("not is_train").select("s1_id"))
+    sweep = spark.createDataFrame(sweep.collect(), sweep.schema)
+    drop(true, found, train, rows, scored)
+    free_shuffles(spark)
+    return Trained(fitted, settings.weights, assign.best_threshold(sweep), sweep)
 
 
 def link(s1: DataFrame, targets: DataFrame, trained: Trained, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
