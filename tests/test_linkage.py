@@ -344,6 +344,17 @@ def test_features_of_a_node(strategy, forest, n):
     assert trees.features_of_a_node(strategy, 16, forest) == n
 
 
+def test_scores_of_training_are_those_of_linking(spark, data):
+    """Linking the records of the training takes their scores, which are the same as worked out again, whoever made the features."""
+    r = fixture.Records(spark, data)
+    params = {"gbt": {"maxIter": 3, "maxDepth": 3, "seed": 1}, "forest": {"numTrees": 3, "maxDepth": 3, "seed": 1}}
+    settings = linkage.Settings(k=10, params=params, weights={"p_gbt": 0.5, "p_forest": 0.5})
+    trained = linkage.train_and_validate(r.s1, r.s23, r.truth, F.substring(F.md5("entity_id"), 1, 1) < "c", settings)
+    rows = lambda same: [sorted(map(tuple, df.select("s1_id", "target_id").collect())) for df in linkage.link(r.s1, r.s23, trained, settings, same)]
+    assert rows(True) == rows(False)
+    assert rows(True)[1]
+
+
 def test_bundle_round_trip(spark, tmp_path):
     rng = random.Random(5)
     rows = [[float(i % 2), *[rng.random() + (i % 2) * 0.3 for _ in pairs.FEATURES]] for i in range(80)]

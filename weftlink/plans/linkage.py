@@ -41,9 +41,11 @@ class Trained:
     weights: dict[str, float]
     threshold: float
     sweep: DataFrame | None = None
+    #: (s1_id, target_id, p) of all candidates of the records that it was trained on.
+    scored: DataFrame | None = None
 
     def save(self, folder: str) -> None:
-        """Everything that link needs; the sweep is a report and is not kept."""
+        """Everything that link needs for new records; the sweep is a report and is not kept."""
         tables.save_bundle(self.models, {"weights": self.weights, "threshold": self.threshold}, folder)
 
     @classmethod
@@ -81,7 +83,10 @@ def features(found: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def train_and_validate(s1: DataFrame, targets: DataFrame, truth: DataFrame, is_train: Column, settings: Settings | None = None) -> Trained:
-    """Fits all models on the training entities' pairs (true pairs included) and picks the threshold on the others' (candidates only)."""
+    """Fits all models on the training entities' pairs (true pairs included) and picks the threshold on the others' (candidates only).
+
+    The scores of all candidates stay in the shared folder, for link over the same records.
+    """
     settings = settings or Settings()
     spark = s1.sparkSession
     part = s1.select(F.col("entity_id").alias("s1_id"), is_train.alias("is_train"))
@@ -89,21 +94,26 @@ def train_and_validate(s1: DataFrame, targets: DataFrame, truth: DataFrame, is_t
     true = written(truth.select("s1_id", "target_id").join(part, "s1_id"), "true")
     found = written(find_pairs(s1, targets, settings).join(part, "s1_id"), "found")
     train = written(pairs.labelled_pairs(found.where("is_train"), true.where("is_train"), True), "train")
-    rows = written(features(train, s1, targets).join(train, ["s1_id", "target_id"]).select("label", *pairs.FEATURES), "rows")
+    every = found.select("s1_id", "target_id").union(train.select("s1_id", "target_id")).distinct()
+    known = written(features(every, s1, targets), "features")
+    rows = written(known.join(train, ["s1_id", "target_id"]).select("label", *pairs.FEATURES), "rows")
     free_shuffles(spark)
     fitted = models.train_all(rows, settings.params)
-    check = found.where("not is_train").select("s1_id", "target_id")
-    scored = written(models.predict(fitted, features(check, s1, targets)).withColumn("p", scoring.blend(settings.weights)).select("s1_id", "target_id", "p"), "scored")
-    sweep = assign.threshold_sweep(scored, true.where("not is_train"), part.where("not is_train").select("s1_id"))
+    asked = known.join(found.select("s1_id", "target_id"), ["s1_id", "target_id"], "left_semi")
+    scored = written(models.predict(fitted, asked).withColumn("p", scoring.blend(settings.weights)).select("s1_id", "target_id", "p"), "scored")
+    check = part.where("not is_train").select("s1_id")
+    sweep = assign.threshold_sweep(scored.join(check, "s1_id"), true.where("not is_train"), check)
     sweep = spark.createDataFrame(sweep.collect(), sweep.schema)
-    drop(true, found, train, rows, scored)
+    drop(true, found, train, known, rows)
     free_shuffles(spark)
-    return Trained(fitted, settings.weights, assign.best_threshold(sweep), sweep)
+    return Trained(fitted, settings.weights, assign.best_threshold(sweep), sweep, scored)
 
 
-def link(s1: DataFrame, targets: DataFrame, trained: Trained, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """(matches, candidates) of new records."""
+def link(s1: DataFrame, targets: DataFrame, trained: Trained, settings: Settings | None = None, same: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(matches, candidates) of new records; same: of those that it was trained on with these settings, whose scores are there."""
     settings = settings or Settings()
+    if same and trained.scored is not None:
+        return assign.injective(trained.scored, trained.threshold), trained.scored.select("s1_id", "target_id")
     found = find_pairs(s1, targets, settings)
     scored = models.predict(trained.models, features(found, s1, targets)).withColumn("p", scoring.blend(trained.weights))
     return assign.injective(scored, trained.threshold), found
