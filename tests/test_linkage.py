@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlink import schema
+from weftlink.functions import text
 from weftlink.operators import assign, blocking, export, metrics, models, pairs, sampling, scoring, trees, vectors
 from weftlink.plans import fixture, linkage, queries
 from weftlink.sources import tables
@@ -255,6 +257,47 @@ def test_dense_topk_leaves_out_short_rows(monkeypatch):
     assert len(query) == 300
 
 
+def test_unit_vectors_and_weights_of_terms_are_exact(spark):
+    x = np.array([[3.0, 4.0, 9.0], [0.0, 0.0, 1.0]])
+    assert vectors.unit(lambda: lambda texts: x, 2)()(["", ""]).tolist() == [[math.floor(0.6 * 2**20) / 2**20, math.floor(0.8 * 2**20) / 2**20], [0.0, 0.0]]
+    assert vectors.unit(lambda: lambda texts: np.zeros((0, 3)))()([]).shape == (0, 3)
+    texts = spark.createDataFrame([("a", "zebra of zebra lions"), ("b", None), ("c", "of")], "entity_id string, text string")
+    got = vectors.term_weights(texts.na.fill(""), queries._word_logits, n=1).collect()
+    assert [tuple(t) for t in got] == [("a", "lions", float(math.floor(1024 * math.log(3))))]
+
+
+def test_hybrid_union_has_the_three_branches(spark, data):
+    """The same as by all pairs: keys, cosines of whole records' vectors, and weighted terms of names and addresses."""
+    r = fixture.Records(spark, data)
+    clean = r.sources.select("entity_id", "source", text.clean_name(F.col("business_name")).alias("name"), text.clean_address(F.col("business_address")).alias("address"), "country").collect()
+    asked, rows = ([x for x in clean if (x.source == "S1") == own] for own in (True, False))
+
+    def vector(x):
+        written = f"Business: {x.name} | Address: {x.address} | Country: {x.country.strip(' ')}"
+        if x.source == "S1":
+            written = "Instruct: Retrieve matching business identity records across noisy sources\nQuery: " + written
+        counts = [written.count(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+        length = math.sqrt(sum(c * c for c in counts))
+        return [math.floor(c / length * 2**20) for c in counts]
+
+    def weights(x):
+        words = sorted({w for w in f"{x.name} {x.address}".split() if len(w) > 3}, key=lambda w: (-len(w), w))
+        return {w: math.floor(1024 * math.log(len(w) - 2)) for w in words[:30]}
+
+    def nearest(side, score, k):
+        all_pairs = {(a.entity_id, b.entity_id): score(x, y) for a, x in zip(asked, map(side, asked)) for b, y in zip(rows, map(side, rows))}
+        return {(a, b) for a, found in _best_by_id({p: s for p, s in all_pairs.items() if s is not None}, k).items() for b, _ in found}
+
+    want = {
+        "exact": {(x.s1_id, x.target_id) for x in blocking.candidates(blocking.block_index(r.s23, 300), r.s1, 10).collect()},
+        "dense": nearest(vector, lambda x, y: sum(map(int.__mul__, x, y)), 6),
+        "sparse": nearest(weights, lambda x, y: sum(x[w] * y[w] for w in x.keys() & y.keys()) or None, 4),
+    }
+    got = {(x.s1_id, x.target_id): x.branches for x in queries.QUERIES["hybrid_union"](spark, data).collect()}
+    assert got == {p: ",".join(b for b in sorted(want) if p in want[b]) for p in set().union(*want.values())}
+    assert {"dense", "exact", "sparse", "dense,exact,sparse"} <= set(got.values())
+
+
 def test_end_to_end(spark, data):
     r = fixture.Records(spark, data)
     matches, found = linkage.link_by(r.s1, r.s23, linkage.word_jaccard, linkage.Settings(cap=50, k=10, threshold=0.4))
