@@ -257,6 +257,13 @@ def test_dense_topk_leaves_out_short_rows(monkeypatch):
     assert len(query) == 300
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e20])
+def test_dense_block_tells_rows_apart_that_single_precision_does_not(scale):
+    x = (1 + 1e-9 * np.random.default_rng(6).permutation(3000)[:, None] * np.ones(4)) * scale
+    query, place, _ = vectors._dense_block(x[:3], x, 5, np.full(3, -np.inf))
+    assert all(set(place[query == i]) == set(np.argsort(-x[:, 0])[:5]) for i in range(3))
+
+
 def test_unit_vectors_and_weights_of_terms_are_exact(spark):
     x = np.array([[3.0, 4.0, 9.0], [0.0, 0.0, 1.0]])
     assert vectors.unit(lambda: lambda texts: x, 2)()(["", ""]).tolist() == [[math.floor(0.6 * 2**20) / 2**20, math.floor(0.8 * 2**20) / 2**20], [0.0, 0.0]]
